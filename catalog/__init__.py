@@ -3,4 +3,5 @@
 from catalog.registry import ORACLES, QUERIES  # noqa: F401
 from catalog import (  # noqa: F401
     q_metrics,
+    q_sequence,
 )
