@@ -2,6 +2,8 @@
 
 from catalog.registry import ORACLES, QUERIES  # noqa: F401
 from catalog import (  # noqa: F401
+    q_audit,
     q_metrics,
     q_sequence,
+    q_sources,
 )
