@@ -141,11 +141,13 @@ WINDOW_PREDICTIONS_SQL = """window_predictions AS (
 
 # SQL form of the three window-to-subject methods, for any key list
 SCORE_SQL = {
-    "mean": "avg(window_probability)",
-    "attention": "sum(window_probability * exp(window_probability)) / sum(exp(window_probability))",
+    "mean": "round(avg(window_probability), 12)",
+    "attention": (
+        "round(sum(window_probability * exp(window_probability)) / sum(exp(window_probability)), 12)"
+    ),
     "topk": (
-        "list_sum(list_sort(list(window_probability), 'DESC')[1:greatest(1, ceil(count(*) * 0.25))::BIGINT])"
-        " / greatest(1, ceil(count(*) * 0.25))"
+        "round(list_sum(list_sort(list(window_probability), 'DESC')"
+        "[1:greatest(1, ceil(count(*) * 0.25))::BIGINT]) / greatest(1, ceil(count(*) * 0.25)), 12)"
     ),
 }
 

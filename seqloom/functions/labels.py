@@ -39,7 +39,9 @@ def tolerant_int(value: Column) -> Column:
 def tolerant_double(value: Column) -> Column:
     """NULL unless the trimmed text is a number; a type suffix such as ``1.5f`` is not."""
     text = F.trim(value.cast("string"))
-    return F.when(~text.rlike(r"\d\.?[dDfF]$"), text.try_cast("double"))
+    lower = F.lower(text)
+    suffixed = lower.endswith("d") | (lower.endswith("f") & ~lower.endswith("inf"))
+    return F.when(~suffixed, text.try_cast("double"))
 
 
 def age_or_unknown(age: Column) -> Column:

@@ -40,6 +40,14 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda state: state["all"])
 
 
-def draw_from_cdf(uniform: Column, cdf: Column) -> Column:
-    """Number of steps of ``cdf`` that ``uniform`` has passed."""
-    return F.size(F.filter(cdf, lambda c: uniform >= c))
+def copies_from_cdf(uniform: Column, cdf: Column) -> Column:
+    """``[1 .. n]`` with n the number of steps of ``cdf`` that ``uniform`` has passed.
+
+    The uniform is bound to a lambda variable, otherwise it would be hashed again for every step.
+    """
+    return F.flatten(
+        F.transform(
+            F.array(uniform),
+            lambda u: F.transform(F.filter(cdf, lambda c: u >= c), lambda c, i: i + 1),
+        )
+    )

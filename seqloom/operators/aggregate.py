@@ -13,6 +13,9 @@ METHODS = ("mean", "topk", "attention")
 # Subjects with more windows than this are ranked by a distributed running count instead of an
 # array inside one aggregation buffer.
 HOT_WINDOWS = 200_000
+# Sums of doubles depend on the order in which partitions are added. Rounded here, subjects with
+# equal windows get equal probabilities, so thresholds and ties do not depend on partitioning.
+PROBABILITY_DIGITS = 12
 
 
 def _check_methods(methods: Sequence[str]) -> list[str]:
@@ -81,7 +84,7 @@ def subject_scores(
     sums = {"mean": mean_probability(p), "attention": attention_probability(p)}
     sum_columns = [sums[m].alias(m) for m in methods if m in sums]
     if "topk" not in methods:
-        return windows.groupBy(*keys).agg(*common, *sum_columns)
+        return _stable(windows.groupBy(*keys).agg(*common, *sum_columns), methods)
 
     listed = _topk_of_array(F.collect_list(p), topk_fraction).alias("topk")
     hot = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(
@@ -89,14 +92,20 @@ def subject_scores(
     ).select(*keys)
     out = [*keys, "label", "num_windows", *methods]
     if hot.isEmpty():
-        return windows.groupBy(*keys).agg(*common, *sum_columns, listed).select(*out)
+        simple = windows.groupBy(*keys).agg(*common, *sum_columns, listed)
+        return _stable(simple.select(*out), methods)
 
     cold = windows.join(hot, keys, "left_anti").groupBy(*keys).agg(*common, *sum_columns, listed)
     # at most rows / hot_windows keys are hot; Spark broadcasts them when they fit its limit
     hot_rows = windows.join(hot, keys, "left_semi")
     hot_scores = hot_rows.groupBy(*keys).agg(*common, *sum_columns)
     hot_topk = _topk_distributed(hot_rows, keys, probability, topk_fraction)
-    return cold.select(*out).unionByName(hot_scores.join(hot_topk, keys).select(*out))
+    both = cold.select(*out).unionByName(hot_scores.join(hot_topk, keys).select(*out))
+    return _stable(both, methods)
+
+
+def _stable(scores: DataFrame, methods: Sequence[str]) -> DataFrame:
+    return scores.withColumns({m: F.round(m, PROBABILITY_DIGITS) for m in methods})
 
 
 def with_prediction(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -264,15 +264,19 @@ def duplicate_ids(df: DataFrame, key: str) -> DataFrame:
 # --- extraction -----------------------------------------------------------------------------------
 
 
-def extraction_quality(
-    frames: DataFrame, key: str = "subject_id", threshold: float = 0.5
-) -> DataFrame:
-    """Mean confidence, share of low-confidence frames and share of tracked frames per subject."""
-    return frames.groupBy(key).agg(
+def quality_columns(threshold: float = 0.5) -> list[Column]:
+    """Aggregates: mean confidence, share of low-confidence frames, share of tracked frames."""
+    return [
         F.avg("confidence").alias("confidence_mean"),
         F.avg((F.col("confidence") < threshold).cast("double")).alias("low_confidence_ratio"),
         F.avg((F.col("success") > 0).cast("double")).alias("success_ratio"),
-    )
+    ]
+
+
+def extraction_quality(
+    frames: DataFrame, key: str = "subject_id", threshold: float = 0.5
+) -> DataFrame:
+    return frames.groupBy(key).agg(*quality_columns(threshold))
 
 
 STATUSES = ("success", "partial", "failed", "skipped")

@@ -29,7 +29,7 @@ def join_spread(
     ``per_key`` is still broadcast by Spark under its own size limit.
     """
     on = list(on)
-    salted = rows.withColumn("_part", F.pmod(F.col(spread).cast("int"), F.lit(parts)))
+    salted = rows.withColumn("_part", F.pmod(F.col(spread), F.lit(parts)).cast("int"))
     copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return salted.join(copies, on + ["_part"], how).drop("_part")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import labels as L
-from seqloom.operators.audit import extraction_quality
+from seqloom.operators.audit import quality_columns
 from seqloom.operators.skew import join_spread
 from seqloom.session import new_shared_path
 from seqloom.sources import archives as A
@@ -43,15 +44,21 @@ def _positions(names: Column) -> Column:
 
 
 def _parsed(lines: DataFrame, heads: DataFrame, sep: str) -> DataFrame:
-    """Numeric fields at the header's ``positions``; rows with an unreadable field are dropped."""
+    """Numeric fields at the header's ``positions``; rows with an unreadable field are dropped.
+
+    The line is split once and bound to a lambda variable, and the parsed row comes out of a
+    generator, so that neither is evaluated again for every field that is used.
+    """
     body = lines.where(F.col("line_no") > 0).select("participant", "line_no", "line")
     placed = join_spread(body, heads, ["participant"], "line_no")
-    values = placed.withColumn("_values", R.split_fields(F.col("line"), sep))
-    fields = F.transform(
-        "positions", lambda p: L.tolerant_double(F.get(F.col("_values"), p - 1))
+    parsed = F.transform(
+        F.array(R.split_fields(F.col("line"), sep)),
+        lambda values: F.transform(
+            F.col("positions"), lambda p: L.tolerant_double(F.get(values, p - 1))
+        ),
     )
-    numbers = values.withColumn("fields", fields).drop("_values", "line")
-    return numbers.where(~F.exists("fields", lambda x: x.isNull()))
+    readable = F.filter(parsed, lambda fields: ~F.exists(fields, lambda x: x.isNull()))
+    return placed.select("participant", "line_no", F.explode(readable).alias("fields"))
 
 
 def parse_visual(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,10 +101,13 @@ def parse_acoustic(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frames, heads.select("participant", "missing")
 
 
-def _availability(heads: DataFrame, frames: DataFrame, kind: str) -> DataFrame:
+def _availability(
+    heads: DataFrame, frames: DataFrame, kind: str, quality: Sequence[Column] = ()
+) -> DataFrame:
     shape = frames.groupBy("participant").agg(
-        F.count(F.lit(1)).alias("_rows"), F.max(F.size("features")).alias("_width")
+        F.count(F.lit(1)).alias("_rows"), F.max(F.size("features")).alias("_width"), *quality
     )
+    extra = [c for c in shape.columns if not c.startswith("_") and c != "participant"]
     complaint = F.concat(
         F.lit(f"{kind}_parse_error: Missing columns: "), F.array_join("missing", ", ")
     )
@@ -107,6 +117,7 @@ def _availability(heads: DataFrame, frames: DataFrame, kind: str) -> DataFrame:
         F.coalesce("_rows", F.lit(0)).alias(f"{kind}_len"),
         F.col("_width").alias(f"{kind}_dim"),
         F.when(F.size("missing") > 0, complaint).alias(f"_{kind}_error"),
+        *extra,
     )
 
 
@@ -118,9 +129,8 @@ def extract(archives: DataFrame) -> Extraction:
     joined = (
         archives.select("participant", "archive")
         .join(A.distinct_warnings(lines), "participant", "left")
-        .join(_availability(visual_heads, visual, "visual"), "participant", "left")
+        .join(_availability(visual_heads, visual, "visual", quality_columns()), "participant", "left")
         .join(_availability(acoustic_heads, acoustic, "acoustic"), "participant", "left")
-        .join(extraction_quality(visual, "participant"), "participant", "left")
     )
     has = {k: F.coalesce(F.col(f"{k}_available"), F.lit(False)) for k in ("visual", "acoustic")}
     status = L.extraction_status(has["visual"], has["acoustic"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import metrics
+from seqloom.sources.storage import write_bytes
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
@@ -55,6 +57,18 @@ def write_lines(lines: DataFrame, order: Sequence[str], path: str) -> None:
     lines.orderBy(*order).select("line").coalesce(1).write.text(path)
 
 
+def write_documents(documents: DataFrame, root: str, name: str) -> int:
+    """One file ``<root>/<folder>/<name>`` per row of ``folder, document``; returns their number."""
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                write_bytes(f"{root}/{row.folder}/{name}", row.document.encode("utf-8"))
+            yield batch[["folder"]]
+
+    return documents.select("folder", "document").mapInPandas(save, "folder string").count()
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
