@@ -4,6 +4,7 @@ from catalog.registry import ORACLES, QUERIES  # noqa: F401
 from catalog import (  # noqa: F401
     q_audit,
     q_metrics,
+    q_model,
     q_selection,
     q_sequence,
     q_sources,
