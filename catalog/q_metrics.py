@@ -32,7 +32,7 @@ def edge_subjects(spark, sf_dir):
 
 def _subject_columns(df):
     return df.select(
-        "subject_id", long("label"), long("num_windows"), r8("probability"), long("prediction")
+        "subject_id", long("label"), long("num_windows"), "probability", long("prediction")
     )
 
 
@@ -44,7 +44,7 @@ for _method in aggregate.METHODS:
     query(
         f"agg_{_method}",
         f"""WITH {WINDOW_PREDICTIONS_SQL}, {subject_predictions_sql(_method)}
-SELECT subject_id, label::BIGINT AS label, num_windows, round(probability, 8) AS probability,
+SELECT subject_id, label::BIGINT AS label, num_windows, probability,
        prediction::BIGINT AS prediction FROM subject_predictions""",
     )(_run)
 
@@ -53,8 +53,8 @@ SELECT subject_id, label::BIGINT AS label, num_windows, round(probability, 8) AS
     "agg_subject_predictions",
     f"""WITH {WINDOW_PREDICTIONS_SQL}
 SELECT subject_id, min(label)::BIGINT AS label, count(*) AS num_windows,
-       round({SCORE_SQL['mean']}, 8) AS p_mean, round({SCORE_SQL['topk']}, 8) AS p_topk,
-       round({SCORE_SQL['attention']}, 8) AS p_attention
+       {SCORE_SQL['mean']} AS p_mean, {SCORE_SQL['topk']} AS p_topk,
+       {SCORE_SQL['attention']} AS p_attention
 FROM window_predictions GROUP BY subject_id ORDER BY subject_id""",
 )
 def agg_subject_predictions(spark, sf_dir):
@@ -64,7 +64,7 @@ def agg_subject_predictions(spark, sf_dir):
             "subject_id",
             long("label"),
             "num_windows",
-            *[r8(m, f"p_{m}") for m in aggregate.METHODS],
+            *[F.col(m).alias(f"p_{m}") for m in aggregate.METHODS],
         )
         .orderBy("subject_id")
     )
@@ -256,13 +256,13 @@ def win_pr_curve(spark, sf_dir):
 
 
 _REVIEW_SQL = """SELECT subject_id, label::BIGINT AS label, prediction::BIGINT AS prediction,
-       round(probability, 8) AS probability, num_windows
+       probability, num_windows
 FROM subject_predictions WHERE {condition} ORDER BY {order}, subject_id LIMIT 10"""
 
 
 def _review_out(df):
     return df.select(
-        "subject_id", long("label"), long("prediction"), r8("probability"), "num_windows"
+        "subject_id", long("label"), long("prediction"), "probability", "num_windows"
     )
 
 

@@ -17,7 +17,7 @@ def hash_uniform(key: Column, seed: int | Column) -> Column:
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """Distribution function of a Poisson variable as an array, long enough to end at 1.0.
+    """Distribution function of a Poisson variable as an array, up to where it reaches 1.0.
 
     Terms are kept as logarithms so that large rates do not underflow.
     """
@@ -37,7 +37,9 @@ def poisson_cdf(rate: Column) -> Column:
             F.concat(state["all"], F.array(cdf)).alias("all"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda state: state["all"])
+    full = F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda state: state["all"])
+    # a uniform below 1 never passes the rest
+    return F.filter(full, lambda c: c < F.lit(1.0))
 
 
 def copies_from_cdf(uniform: Column, cdf: Column) -> Column:

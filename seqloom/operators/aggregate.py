@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.skew import ordered_prefix
 
 METHODS = ("mean", "topk", "attention")
-# Subjects with more windows than this are ranked by a distributed running count instead of an
-# array inside one aggregation buffer.
-HOT_WINDOWS = 200_000
+# Subjects with more windows than this are ranked by a distributed running count instead of a sort
+# inside one task.
+HOT_WINDOWS = 1_000_000
 # Sums of doubles depend on the order in which partitions are added. Rounded here, subjects with
 # equal windows get equal probabilities, so thresholds and ties do not depend on partitioning.
 PROBABILITY_DIGITS = 12
@@ -38,10 +38,20 @@ def top_share_count(n: Column, fraction: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * F.lit(fraction))).cast("long")
 
 
-def _topk_of_array(values: Column, fraction: float) -> Column:
-    k = top_share_count(F.size(values), fraction).cast("int")
-    best = F.slice(F.sort_array(values, asc=False), F.lit(1), k)
-    return F.aggregate(best, F.lit(0.0), lambda acc, x: acc + x) / k
+def _with_rank(windows: DataFrame, keys: Sequence[str], probability: str) -> DataFrame:
+    """``_rank`` by falling probability and ``_size`` per group: one shuffle, one spillable sort."""
+    group = Window.partitionBy(*keys)
+    return windows.withColumns(
+        {
+            "_rank": F.row_number().over(group.orderBy(F.col(probability).desc())),
+            "_size": F.count(F.lit(1)).over(group),
+        }
+    )
+
+
+def _topk_of_ranked(probability: str, fraction: float) -> Column:
+    k = top_share_count(F.col("_size"), fraction)
+    return F.sum(F.when(F.col("_rank") <= k, F.col(probability))) / F.max(k)
 
 
 def _topk_distributed(
@@ -74,8 +84,9 @@ def subject_scores(
     """All requested subject probabilities, one column per method, in one grouping.
 
     ``mean`` and ``attention`` are sums, combined before the shuffle. ``topk`` needs order: subjects
-    are first counted (one column read, combined before the shuffle); only where some exceed
-    ``hot_windows`` are those ranked separately by range-partitioned running counts.
+    are first counted (only the keys are read, combined before the shuffle); those that exceed
+    ``hot_windows`` are ranked separately by range-partitioned running counts. The count makes
+    ``topk`` read its input twice, so materialise an input that is expensive to compute.
     """
     methods = _check_methods(methods)
     keys = [*by, subject]
@@ -86,21 +97,25 @@ def subject_scores(
     if "topk" not in methods:
         return _stable(windows.groupBy(*keys).agg(*common, *sum_columns), methods)
 
-    listed = _topk_of_array(F.collect_list(p), topk_fraction).alias("topk")
-    hot = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") > hot_windows
-    ).select(*keys)
+    ranked_topk = _topk_of_ranked(probability, topk_fraction).alias("topk")
     out = [*keys, "label", "num_windows", *methods]
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        grouped = _with_rank(rows, keys, probability).groupBy(*keys)
+        return grouped.agg(*common, *sum_columns, ranked_topk).select(*out)
+
+    windows = windows.select(*keys, label, probability)
+    sizes = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_windows).select(*keys)
     if hot.isEmpty():
-        simple = windows.groupBy(*keys).agg(*common, *sum_columns, listed)
-        return _stable(simple.select(*out), methods)
+        return _stable(ranked(windows), methods)
 
-    cold = windows.join(hot, keys, "left_anti").groupBy(*keys).agg(*common, *sum_columns, listed)
+    cold = windows.join(hot, keys, "left_anti")
     # at most rows / hot_windows keys are hot; Spark broadcasts them when they fit its limit
     hot_rows = windows.join(hot, keys, "left_semi")
     hot_scores = hot_rows.groupBy(*keys).agg(*common, *sum_columns)
     hot_topk = _topk_distributed(hot_rows, keys, probability, topk_fraction)
-    both = cold.select(*out).unionByName(hot_scores.join(hot_topk, keys).select(*out))
+    both = ranked(cold).unionByName(hot_scores.join(hot_topk, keys).select(*out))
     return _stable(both, methods)
 
 

@@ -57,20 +57,27 @@ def train_config(config: dict) -> model.TrainConfig:
 def _predictions(
     windows: DataFrame, config: dict, seeds: Sequence[int], folds: Sequence[str]
 ) -> DataFrame:
+    """Window predictions of every seed, materialised because aggregation reads them twice.
+
+    The seed enters through balanced sampling only. Without it all seeds give the same model, which
+    is then fitted once.
+    """
     key = F.concat_ws("-", F.col("subject_id").cast("string"), F.col("window_idx").cast("string"))
+    setup = train_config(config)
+    groups = [[seed] for seed in seeds] if setup.balanced_sampling else [list(seeds)]
     scored = [
         model.train_and_score(
-            windows, train_config(config), seed, key=key, score_folds=tuple(folds)
+            windows, setup, group[0], key=key, score_folds=tuple(folds)
         ).select(
-            F.lit(seed).alias("seed"),
+            F.explode(F.array(*[F.lit(seed) for seed in group])).alias("seed"),
             "fold",
             F.col("subject_id").cast("string").alias("subject_id"),
             F.col("label_binary").alias("label"),
             "window_probability",
         )
-        for seed in seeds
+        for group in groups
     ]
-    return reduce(lambda a, b: a.unionByName(b), scored)
+    return checkpointed(reduce(lambda a, b: a.unionByName(b), scored))
 
 
 def run_experiment(
@@ -89,14 +96,23 @@ def run_experiment(
 def _evaluate_stage(
     suite: Suite, stage: str, candidates: Sequence[tuple[str, dict]], cache: dict
 ) -> tuple[list[Row], Row]:
-    """Ledger rows of a stage and the chosen one. Only candidate-level summaries reach the driver."""
+    """Ledger rows of a stage and the chosen one. Only candidate-level summaries reach the driver.
+
+    ``cache`` keeps windows per shape and metrics per configuration: the candidate that repeats the
+    configuration chosen before is not trained again.
+    """
     runs = []
     for position, (name, config) in enumerate(candidates):
         shape = (config["window_size"], config["stride"], config["normalization_source"])
         if shape not in cache:
             cache[shape] = checkpointed(suite.windows(config))
+        setup = (shape, train_config(config))
+        if setup not in cache:
+            cache[setup] = checkpointed(
+                run_experiment(cache[shape], config, suite.dev_seeds, suite.methods)
+            )
         runs.append(
-            run_experiment(cache[shape], config, suite.dev_seeds, suite.methods).select(
+            cache[setup].select(
                 F.lit(name).alias("candidate"), F.lit(position).alias("position"), "method", "macro_f1"
             )
         )
