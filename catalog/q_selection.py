@@ -15,7 +15,7 @@ from catalog.tables import (
 )
 from seqloom.functions import losses, randomness
 from seqloom.operators import aggregate, audit, metrics, sampling, selection
-from seqloom.session import new_shared_path
+from seqloom.session import checkpointed, new_shared_path
 from seqloom.sources import readers, writers
 
 W = f"WITH {WINDOW_PREDICTIONS_SQL}"
@@ -117,7 +117,7 @@ WHERE {UNIFORM_SQL.format(seed=27)} < (SELECT min(n) FROM c)::DOUBLE / c.n::DOUB
 )
 def smp_stratified(spark, sf_dir):
     kept = sampling.stratified_sample(
-        window_predictions(spark, sf_dir), _key(), 27, [0, 1], "label"
+        window_predictions(spark, sf_dir), _key(), 27, "label"
     )
     return kept.select("subject_id", long("window_idx"), long("label"))
 
@@ -514,7 +514,7 @@ SELECT c.track, c.candidate, c.selected_aggregation, num_seeds, round(m, 8) AS m
 FROM chosen c JOIN summary s ON s.track = c.track AND s.candidate = c.candidate""",
 )
 def ml_experiment_summary(spark, sf_dir):
-    records = runs(spark, sf_dir)
+    records = checkpointed(runs(spark, sf_dir))
     summary = selection.experiment_summary(
         records, ["track", "candidate"], ["macro_f1"], select_methods(records)
     )

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.vectors import standardise
+from seqloom.operators.skew import broadcast_if_small
 
 VAR_FLOOR = 1e-8
 # mean and variance need two columns per dimension
 MAX_COLUMN_DIMS = 32
 SOURCES = ("train", "provided")
+# 256 groups of 136 dimensions are about half a megabyte
+MAX_GROUPS = 256
 
 
 def fit_stats(
@@ -77,10 +80,10 @@ def stats_from_long(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def join_stats(seq: DataFrame, stats: DataFrame, on: Sequence[str]) -> DataFrame:
     """Attach the statistics of each row's group.
 
-    There is one row per group (corpus and modality, a handful), each a few hundred numbers wide,
-    so the small side is broadcast.
+    There is one row per group (corpus and modality), each a few hundred numbers wide. They are
+    computed once; up to ``MAX_GROUPS`` rows they are broadcast and no row of ``seq`` moves.
     """
-    return seq.join(F.broadcast(stats.select(*on, "mean", "std")), list(on))
+    return seq.join(broadcast_if_small(stats.select(*on, "mean", "std"), MAX_GROUPS), list(on))
 
 
 def apply_stats(

@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 from seqloom.functions.randomness import copies_from_cdf, hash_uniform, poisson_cdf
 
 
-def class_counts(windows: DataFrame, label: str = "label_binary") -> DataFrame:
-    return windows.groupBy(label).agg(F.count(F.lit(1)).alias("class_count"))
+# The two classes. They bound every table of class counts that is broadcast here.
+CLASSES = (0, 1)
+
+
+def class_counts(
+    windows: DataFrame, label: str = "label_binary", classes: Sequence[int] = CLASSES
+) -> DataFrame:
+    """Windows per class, at most one row for each of ``classes``."""
+    counts = windows.groupBy(label).agg(F.count(F.lit(1)).alias("class_count"))
+    return counts.where(F.col(label).isin(*classes))
 
 
 def class_weights(windows: DataFrame, label: str = "label_binary") -> DataFrame:
     """Attach ``class_count`` and ``weight`` = 1 / class count.
 
-    The counts are one row per class, a handful, and are broadcast; no row moves.
+    The counts are at most two rows and are broadcast; no row moves.
     """
     counts = class_counts(windows, label).withColumn("weight", F.lit(1.0) / F.col("class_count"))
     return windows.join(F.broadcast(counts), label)
@@ -63,13 +71,13 @@ def weighted_resample(
 
 
 def stratified_sample(
-    windows: DataFrame, key: Column, seed: int, classes: Sequence[int], label: str = "label_binary"
+    windows: DataFrame, key: Column, seed: int, label: str = "label_binary"
 ) -> DataFrame:
     """Without replacement: keep of each class the share that leaves as many as the rarest has.
 
     Shares come from the class counts, one row per class; rows are kept by a hash of ``key``.
     """
-    counts = class_counts(windows, label).where(F.col(label).isin(*classes))
+    counts = class_counts(windows, label)
     smallest = counts.agg(F.min("class_count").alias("_min")).withColumn("_one", F.lit(0))
     shares = (
         counts.withColumn("_one", F.lit(0))

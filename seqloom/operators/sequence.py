@@ -80,24 +80,37 @@ def fill_gaps(seq: DataFrame, width: int, keys: Sequence[str] = KEYS) -> DataFra
     )
 
 
-def trim_invalid(seq: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Cut before the first and after the last valid bin; count ``sec`` from the first one.
-
-    Sequences without a valid bin disappear.
-    """
-    bounds = (
+def valid_bounds(seq: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """First and last valid bin, one row per sequence that has any: ``keys, first, last``."""
+    return (
         seq.where("valid")
         .groupBy(*keys)
-        .agg(F.min("sec").alias("_first"), F.max("sec").alias("_last"))
+        .agg(F.min("sec").alias("first"), F.max("sec").alias("last"))
     )
+
+
+def cut_to(seq: DataFrame, bounds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Keep bins between ``first`` and ``last`` and count ``sec`` from ``first``.
+
+    Sequences without a row in ``bounds`` disappear; further columns of ``bounds`` are attached, so
+    filtering by length and labelling cost no join of their own.
+    """
     return (
         join_spread(seq, bounds, keys, "sec")
-        .where(F.col("sec").between(F.col("_first"), F.col("_last")))
-        .withColumn("sec", F.col("sec") - F.col("_first"))
-        .drop("_first", "_last")
+        .where(F.col("sec").between(F.col("first"), F.col("last")))
+        .withColumn("sec", F.col("sec") - F.col("first"))
+        .drop("first", "last")
     )
 
 
+def trim_invalid(seq: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Cut before the first and after the last valid bin; count ``sec`` from the first one.
+
+    Sequences without a valid bin disappear.
+    """
+    return cut_to(seq, valid_bounds(seq, keys), keys)
+
+
 def align(
     first: DataFrame,
     second: DataFrame,

@@ -34,6 +34,28 @@ def join_spread(
     return salted.join(copies, on + ["_part"], how).drop("_part")
 
 
+def work_partitions(df: DataFrame) -> int:
+    """Partitions for rows that are small themselves but stand for much work.
+
+    An explicit number is not coalesced by adaptive execution, which would judge such rows by their
+    bytes and give the work of all of them to a few tasks.
+    """
+    spark = df.sparkSession
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism,
+    )
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Compute ``df`` once, count it, and mark it for broadcast only within ``max_rows`` rows.
+
+    Beyond that it stays an ordinary side of a shuffled join.
+    """
+    stored = checkpointed(df)
+    return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
+
+
 def expand_range(
     df: DataFrame, count: Column, out: str, keys: Sequence[str], block: int = EXPAND_BLOCK
 ) -> DataFrame:
@@ -49,7 +71,7 @@ def expand_range(
             "_block",
             F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_count") - 1) / block))),
         )
-        .repartition(*keys, "_block")
+        .repartition(work_partitions(df), *keys, "_block")
     )
     first = F.col("_block") * block
     last = F.least(first + block, F.col("_count")) - 1

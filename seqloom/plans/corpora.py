@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +38,6 @@ class Prepared:
     widths: dict[str, int]
 
 
-def _with_fold(seq: DataFrame, labels: DataFrame) -> DataFrame:
-    """One label row per subject; rows of unlabelled subjects drop out."""
-    return join_spread(seq, labels.select("subject_id", "fold"), ["subject_id"], "sec")
-
-
 def _train_stats(
     train: DataFrame, widths: Mapping[str, int], valid_only: bool, provided: DataFrame | None
 ) -> DataFrame:
@@ -54,10 +50,7 @@ def _train_stats(
         )
         for name, width in widths.items()
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return checkpointed(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 def prepare_e(
@@ -81,11 +74,8 @@ def prepare_e(
         quality = (
             {"quality": "confidence", "success": "success"} if name == "visual" else {}
         )
-        wanted = frames[name].join(
-            labels.select("subject_id"), "subject_id", "left_semi"
-        )
         binned[name] = sequence.resample(
-            wanted, widths[name], quality_threshold=config.quality_threshold, **quality
+            frames[name], widths[name], quality_threshold=config.quality_threshold, **quality
         )
     if modality == "both":
         seq = sequence.align(
@@ -93,8 +83,13 @@ def prepare_e(
         )
     else:
         seq = binned[modality].withColumnRenamed("features", modality)
-    kept = sequence.drop_short(sequence.trim_invalid(seq), config.min_len)
-    ready = checkpointed(_with_fold(kept, labels))
+    # length filter and labels act on the one-row-per-subject bounds: the bins are joined once
+    bounds = (
+        sequence.valid_bounds(seq)
+        .where(F.col("last") - F.col("first") + 1 >= config.min_len)
+        .join(labels.select("subject_id", "fold"), "subject_id")
+    )
+    ready = checkpointed(sequence.cut_to(seq, bounds))
     used = {n: widths[n] for n in names}
     fitted = (
         _train_stats(ready.where(F.col("fold") == "train"), used, True, stats)
@@ -171,9 +166,12 @@ def window_items(
         found = windows.window_index(prepared.lengths, config.size, config.stride).withColumn(
             "valid_ratio", F.lit(1.0)
         )
+    phq = F.col("phq").cast("double") if "phq" in labels.columns else F.lit(None).cast("double")
+    facts = labels.select("subject_id", "label_binary", phq.alias("label_phq"), "fold")
+    # labels join the thin window index; the matrices are not moved again afterwards
+    found = join_spread(found, facts, ["subject_id"], "window_idx")
     if prepared.stats is not None:
         for name in names:
-            # one row of statistics per modality
             stats = prepared.stats.where(F.col("modality") == name)
             seq = normalise.apply_stats(
                 seq.withColumn("modality", F.lit(name)), stats, ["modality"], name
@@ -192,9 +190,7 @@ def window_items(
         prepared.widths,
         gap_rows=gap_rows,
     )
-    phq = F.col("phq").cast("double") if "phq" in labels.columns else F.lit(None).cast("double")
-    facts = labels.select("subject_id", "label_binary", phq.alias("label_phq"), "fold")
-    return join_spread(items, facts, ["subject_id"], "window_idx").select(
+    return items.select(
         "subject_id",
         "window_idx",
         "start",

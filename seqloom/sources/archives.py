@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.operators.skew import work_partitions
 from seqloom.sources.files import archive_participant, base_name
 from seqloom.sources.storage import open_sequential
 
@@ -109,7 +110,9 @@ def read_payload_lines(archives: DataFrame, payloads: dict[str, str] | None = No
                 if rows:
                     yield _frame(rows)
 
-    spread = archives.select("participant", "archive", "path").repartition("path")
+    spread = archives.select("participant", "archive", "path").repartition(
+        work_partitions(archives), "path"
+    )
     return spread.mapInPandas(read, _LINES)
 
 

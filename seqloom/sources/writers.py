@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators import metrics
+from seqloom.session import checkpointed
 from seqloom.sources.storage import write_bytes
 
 
@@ -38,6 +39,7 @@ def write_labels(labels: DataFrame, path: str, sep: str = ",") -> None:
 
 def write_predictions(subjects: DataFrame, path: str, bins: int = 10) -> None:
     """Subject predictions, metrics record, confusion matrix and calibration bins."""
+    subjects = checkpointed(subjects)
     subjects.write.option("header", True).csv(f"{path}/subject_predictions")
     metrics.classification_metrics(subjects, bins=bins).write.json(f"{path}/metrics")
     metrics.confusion_long(subjects).write.option("header", True).csv(f"{path}/confusion_matrix")
