@@ -19,6 +19,7 @@ from catalog.tables import (
 )
 from seqloom.functions import vectors
 from seqloom.operators import normalise, sequence, windows
+from seqloom.session import checkpointed
 
 KEYS = ("subject_id", "modality")
 
@@ -40,7 +41,8 @@ def resampled(spark, sf_dir, bin_micros=DAY_MICROS):
 
 
 def trimmed(spark, sf_dir, bin_micros=DAY_MICROS):
-    return sequence.trim_invalid(resampled(spark, sf_dir, bin_micros), KEYS)
+    """The bins are stored, so that finding the bounds does not aggregate the raw frames again."""
+    return sequence.trim_invalid(checkpointed(resampled(spark, sf_dir, bin_micros)), KEYS)
 
 
 def _features():
@@ -160,7 +162,7 @@ def join_modalities(spark, sf_dir):
 
 
 def aligned(spark, sf_dir, bin_micros=DAY_MICROS):
-    seq = resampled(spark, sf_dir, bin_micros)
+    seq = checkpointed(resampled(spark, sf_dir, bin_micros))
     visual, acoustic = (
         seq.where(F.col("modality") == m).drop("modality") for m in ("visual", "acoustic")
     )
@@ -231,7 +233,7 @@ def win_short_seq(spark, sf_dir):
 
 
 def kept_windows(spark, sf_dir, size=SIZE, stride=STRIDE, ratio=RATIO, bin_micros=SIX_HOURS_MICROS):
-    seq = trimmed(spark, sf_dir, bin_micros)
+    seq = checkpointed(trimmed(spark, sf_dir, bin_micros))
     lens = sequence.lengths(seq, KEYS)
     return seq, lens, windows.valid_ratio(seq, lens, size, stride, ratio, KEYS)
 
@@ -349,11 +351,17 @@ stats AS (
   FROM train WHERE fold = 'train' AND valid GROUP BY modality)"""
 
 
-def frame_stats(spark, sf_dir):
-    train = trimmed(spark, sf_dir).where(fold_by(F.col("subject_id")) == "train")
+def frame_stats(spark, sf_dir, seq=None):
+    seq = trimmed(spark, sf_dir) if seq is None else seq
+    train = seq.where(fold_by(F.col("subject_id")) == "train")
     return normalise.fit_stats(train, FRAME_WIDTH, by=["modality"])
 
 
+def normalised(spark, sf_dir):
+    seq = checkpointed(trimmed(spark, sf_dir))
+    return normalise.apply_stats(seq, frame_stats(spark, sf_dir, seq), ["modality"])
+
+
 @query(
     "agg_norm_stats",
     STATS_SQL
@@ -399,9 +407,8 @@ FROM trimmed t JOIN stats a ON a.modality = t.modality AND a.dim = 0
 JOIN stats b ON b.modality = t.modality AND b.dim = 1""",
 )
 def join_stats(spark, sf_dir):
-    joined = normalise.join_stats(
-        trimmed(spark, sf_dir), frame_stats(spark, sf_dir), ["modality"]
-    )
+    seq = checkpointed(trimmed(spark, sf_dir))
+    joined = normalise.join_stats(seq, frame_stats(spark, sf_dir, seq), ["modality"])
     return joined.select(
         *KEYS,
         "sec",
@@ -420,9 +427,7 @@ FROM trimmed t JOIN stats a ON a.modality = t.modality AND a.dim = 0
 JOIN stats b ON b.modality = t.modality AND b.dim = 1""",
 )
 def prj_normalise(spark, sf_dir):
-    scaled = normalise.apply_stats(
-        trimmed(spark, sf_dir), frame_stats(spark, sf_dir), ["modality"]
-    )
+    scaled = normalised(spark, sf_dir)
     return scaled.select(
         *KEYS, "sec", *[r8(F.col("features")[i], f"z{i}", digits=6) for i in range(FRAME_WIDTH)]
     )
@@ -452,9 +457,7 @@ FROM trimmed t JOIN stats a ON a.modality = t.modality AND a.dim = 0
 JOIN stats b ON b.modality = t.modality AND b.dim = 1 GROUP BY t.modality""",
 )
 def chk_nan_normalised(spark, sf_dir):
-    scaled = normalise.apply_stats(
-        trimmed(spark, sf_dir), frame_stats(spark, sf_dir), ["modality"]
-    )
+    scaled = normalised(spark, sf_dir)
     return normalise.normalised_has_nan(scaled, ["modality"])
 
 

@@ -74,6 +74,10 @@ def _window_starts_of_bin(sec: Column, length: Column, size: int, stride: int) -
     )
 
 
+def _bins_of(seq: DataFrame, keys: Sequence[str], names: Sequence[str] = ()) -> DataFrame:
+    return seq.select(*keys, "sec", *names, *[c for c in ("len",) if c in seq.columns])
+
+
 def assign_windows(
     seq: DataFrame,
     lengths: DataFrame,
@@ -81,11 +85,14 @@ def assign_windows(
     stride: int,
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Each bin once per window it belongs to: adds ``start, offset, win_len``."""
+    """Each bin once per window it belongs to: adds ``start, offset, win_len``.
+
+    Bins that carry the length of their sequence in ``len`` are not joined with ``lengths``.
+    """
     length = F.col("len").cast("long")
+    sized = seq if "len" in seq.columns else join_spread(seq, lengths.select(*keys, "len"), keys, "sec")
     return (
-        join_spread(seq, lengths.select(*keys, "len"), keys, "sec")
-        .withColumn(
+        sized.withColumn(
             "start",
             F.explode(_window_starts_of_bin(F.col("sec").cast("long"), length, size, stride)),
         )
@@ -108,7 +115,7 @@ def valid_ratio(
     Only valid bins travel; gaps count as invalid because the divisor is the window length.
     """
     counted = (
-        assign_windows(seq.where("valid").select(*keys, "sec"), lengths, size, stride, keys)
+        assign_windows(_bins_of(seq.where("valid"), keys), lengths, size, stride, keys)
         .groupBy(*keys, "start")
         .agg(F.count(F.lit(1)).alias("_valid"), F.min("win_len").alias("win_len"))
         .withColumn("valid_ratio", F.col("_valid") / F.col("win_len"))
@@ -119,15 +126,9 @@ def valid_ratio(
     # windows without a single valid bin count as well
     return (
         window_index(lengths, size, stride, keys)
-        .drop("window_idx", "win_len")
+        .drop("window_idx")
         .join(counted.drop("win_len"), [*keys, "start"], "left")
-        .join(lengths.select(*keys, "len"), list(keys))
-        .select(
-            *keys,
-            "start",
-            F.least(F.col("len"), F.lit(size)).cast("long").alias("win_len"),
-            F.coalesce(F.col("valid_ratio"), F.lit(0.0)).alias("valid_ratio"),
-        )
+        .withColumn("valid_ratio", F.coalesce(F.col("valid_ratio"), F.lit(0.0)))
     )
 
 
@@ -166,26 +167,26 @@ def to_matrix(
     widths: dict[str, int],
     *,
     keys: Sequence[str] = KEYS,
-    gap_rows: dict[str, str] | None = None,
+    gap_rows: dict[str, Column] | None = None,
     pad: bool = True,
 ) -> DataFrame:
     """One row per window with its bins in order, one matrix column per feature column.
 
     ``widths`` names the feature columns and their widths. A bin without frames becomes a row of
-    zeros, or the array in column ``gap_rows[name]`` of ``windows`` (after normalising, that is the
-    normalised zero vector). With ``pad``, rows of zeros fill short windows up to ``size``.
+    zeros, or the array ``gap_rows[name]`` (after normalising, that is the normalised zero vector):
+    a literal, or a column of ``windows``. With ``pad``, rows of zeros fill short windows up to ``size``.
     A window collects at most ``size`` bins, whatever the length of its sequence.
     """
     gap_rows = gap_rows or {}
     names = list(widths)
-    placed = assign_windows(seq.select(*keys, "sec", *names), lengths, size, stride, keys)
+    placed = assign_windows(_bins_of(seq, keys, names), lengths, size, stride, keys)
     bins = placed.groupBy(*keys, "start").agg(
         F.map_from_entries(F.collect_list(F.struct("offset", F.struct(*names)))).alias("_bins")
     )
 
     def matrix(name: str) -> Column:
         empty = zeros(widths[name])
-        missing = F.col(gap_rows[name]) if name in gap_rows else empty
+        missing = gap_rows.get(name, empty)
         rows = F.transform(
             F.sequence(F.lit(0), F.col("win_len").cast("int") - 1),
             lambda i: F.coalesce(F.try_element_at(F.col("_bins"), i)[name], missing),
@@ -197,7 +198,7 @@ def to_matrix(
     return (
         windows.join(bins, [*keys, "start"], "left")
         .withColumns({name: matrix(name) for name in names})
-        .drop("_bins", *gap_rows.values())
+        .drop("_bins")
     )
 
 

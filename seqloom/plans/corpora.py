@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.vectors import standardise
 from seqloom.operators import model, normalise, sequence, windows
 from seqloom.operators.skew import join_spread
 from seqloom.session import checkpointed
@@ -74,8 +75,11 @@ def prepare_e(
         quality = (
             {"quality": "confidence", "success": "success"} if name == "visual" else {}
         )
-        binned[name] = sequence.resample(
-            frames[name], widths[name], quality_threshold=config.quality_threshold, **quality
+        # raw frames are read once: lengths, bounds and bins all come from the stored bins
+        binned[name] = checkpointed(
+            sequence.resample(
+                frames[name], widths[name], quality_threshold=config.quality_threshold, **quality
+            )
         )
     if modality == "both":
         seq = sequence.align(
@@ -86,7 +90,8 @@ def prepare_e(
     # length filter and labels act on the one-row-per-subject bounds: the bins are joined once
     bounds = (
         sequence.valid_bounds(seq)
-        .where(F.col("last") - F.col("first") + 1 >= config.min_len)
+        .withColumn("len", F.col("last") - F.col("first") + 1)
+        .where(F.col("len") >= config.min_len)
         .join(labels.select("subject_id", "fold"), "subject_id")
     )
     ready = checkpointed(sequence.cut_to(seq, bounds))
@@ -96,7 +101,7 @@ def prepare_e(
         if config.normalize
         else None
     )
-    return Prepared(ready, sequence.lengths(ready), fitted, used)
+    return Prepared(ready, ready.groupBy("subject_id").agg(F.max("len").alias("len")), fitted, used)
 
 
 def prepare_d(
@@ -113,15 +118,13 @@ def prepare_d(
     """
     frames = {m: frames[m].select("subject_id", "sec", "features") for m in MODALITIES}
     lens = [sequence.lengths(frames[m]).withColumnRenamed("len", f"_{m}") for m in MODALITIES]
-    shared = (
+    shortest = F.least(*[f"_{m}" for m in MODALITIES], F.lit(config.max_len)).cast("long")
+    # one row per subject, read by five later steps
+    shared = checkpointed(
         lens[0]
         .join(lens[1], "subject_id")
         .join(labels.select("subject_id", "fold"), "subject_id")
-        .select(
-            "subject_id",
-            "fold",
-            F.least(*[f"_{m}" for m in MODALITIES], F.lit(config.max_len)).cast("long").alias("len"),
-        )
+        .select("subject_id", "fold", shortest.alias("len"))
     )
     sides = [
         join_spread(frames[m], shared, ["subject_id"], "sec")
@@ -135,7 +138,7 @@ def prepare_d(
         if config.normalize
         else None
     )
-    kept = aligned.where(F.col("len") >= config.min_len).drop("len")
+    kept = aligned.where(F.col("len") >= config.min_len)
     lengths = shared.where(F.col("len") >= config.min_len).drop("fold")
     return Prepared(
         kept.withColumn("valid", F.lit(True)), lengths, fitted, {m: widths[m] for m in MODALITIES}
@@ -161,7 +164,8 @@ def window_items(
         found = windows.valid_ratio(
             seq, prepared.lengths, config.size, config.stride, config.min_valid_ratio
         )
-        found = windows.number_windows(found, config.stride)
+        # numbering reads the kept windows twice
+        found = windows.number_windows(checkpointed(found), config.stride)
     else:
         found = windows.window_index(prepared.lengths, config.size, config.stride).withColumn(
             "valid_ratio", F.lit(1.0)
@@ -171,16 +175,12 @@ def window_items(
     # labels join the thin window index; the matrices are not moved again afterwards
     found = join_spread(found, facts, ["subject_id"], "window_idx")
     if prepared.stats is not None:
-        for name in names:
-            stats = prepared.stats.where(F.col("modality") == name)
-            seq = normalise.apply_stats(
-                seq.withColumn("modality", F.lit(name)), stats, ["modality"], name
-            ).drop("modality", "gap_row")
-            zero = normalise.join_stats(found.withColumn("modality", F.lit(name)), stats, ["modality"])
-            found = zero.withColumn(
-                f"_gap_{name}", F.zip_with("mean", "std", lambda m, s: -m / s)
-            ).drop("modality", "mean", "std")
-            gap_rows[name] = f"_gap_{name}"
+        # one row per modality, at most two: they become literals of the plan
+        known = prepared.stats.where(F.col("modality").isin(names)).limit(len(names)).collect()
+        for row in known:
+            mean, std = F.lit(list(row["mean"])), F.lit(list(row["std"]))
+            seq = seq.withColumn(row["modality"], standardise(F.col(row["modality"]), mean, std))
+            gap_rows[row["modality"]] = F.lit([-m / s for m, s in zip(row["mean"], row["std"])])
     items = windows.to_matrix(
         found,
         seq,

@@ -133,7 +133,7 @@ def test_matrix_fills_gaps_and_pads(spark):
     lens = sequence.lengths(seq)
     found = windows.valid_ratio(seq, lens, 5, 2, 0.5).withColumn("gap", F.array(F.lit(-1.0), F.lit(-2.0)))
     row = windows.to_matrix(
-        found, seq, lens, 5, 2, {"features": 2}, gap_rows={"features": "gap"}
+        found, seq, lens, 5, 2, {"features": 2}, gap_rows={"features": F.col("gap")}
     ).first()
     assert row["features"] == [[1.0, 2.0], [-1.0, -2.0], [3.0, 4.0], [0.0, 0.0], [0.0, 0.0]]
     assert row["valid_ratio"] == pytest.approx(2 / 3)
