@@ -39,6 +39,7 @@ from seqloom.plans import extraction
 from seqloom.session import new_shared_path
 from seqloom.sources import archives, arrays, files, readers, writers
 from seqloom.sources.storage import write_bytes
+from seqloom.streaming.ingest import append_new_files
 
 # --- label tables ---------------------------------------------------------------------------------
 
@@ -506,3 +507,27 @@ def sink_incremental(spark, sf_dir):
     return result
 
 
+
+
+@query(
+    "sink_incremental_files",
+    """SELECT event_id, user_id, round(value * 2, 6) AS doubled FROM events""",
+)
+def sink_incremental_files(spark, sf_dir):
+    root = new_shared_path(spark, "arriving")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    schema = "event_id long, user_id long, value double"
+    for part in range(2):
+        # a second delivery arrives between the runs; the third run finds nothing new
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{root}/in")
+        for _ in range(part + 1):
+            append_new_files(
+                spark,
+                f"{root}/in",
+                schema,
+                f"{root}/out",
+                f"{root}/state",
+                lambda df: df.withColumn("doubled", F.col("value") * 2).drop("value"),
+            )
+    back = spark.read.parquet(f"{root}/out")
+    return back.select("event_id", "user_id", r8("doubled", digits=6))

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.skew import ordered_prefix
+from seqloom.operators.skew import broadcast_if_small, ordered_prefix
 
 METHODS = ("mean", "topk", "attention")
 # Subjects with more windows than this are ranked by a distributed running count instead of a sort
 # inside one task.
 HOT_WINDOWS = 1_000_000
+MAX_HOT_BROADCAST = 100_000
 # Sums of doubles depend on the order in which partitions are added. Rounded here, subjects with
 # equal windows get equal probabilities, so thresholds and ties do not depend on partitioning.
 PROBABILITY_DIGITS = 12
@@ -59,15 +60,10 @@ def _topk_distributed(
 ) -> DataFrame:
     """Exact top-share mean for groups too large for one task."""
     ties = windows.groupBy(*keys, probability).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = ties.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     ranked = ordered_prefix(ties, keys, -F.col(probability), ["_n"])
-    k = top_share_count(F.col("_size"), fraction)
+    k = top_share_count(F.col("total__n"), fraction)
     taken = F.greatest(F.lit(0), F.least(F.col("_n"), k - F.col("before__n")))
-    return (
-        ranked.join(sizes, list(keys))
-        .groupBy(*keys)
-        .agg((F.sum(F.col(probability) * taken) / F.max(k)).alias("topk"))
-    )
+    return ranked.groupBy(*keys).agg((F.sum(F.col(probability) * taken) / F.max(k)).alias("topk"))
 
 
 def subject_scores(
@@ -110,8 +106,9 @@ def subject_scores(
     if hot.isEmpty():
         return _stable(ranked(windows), methods)
 
+    # at most rows / hot_windows keys are hot: few enough to broadcast, which is checked
+    hot = broadcast_if_small(hot, MAX_HOT_BROADCAST)
     cold = windows.join(hot, keys, "left_anti")
-    # at most rows / hot_windows keys are hot; Spark broadcasts them when they fit its limit
     hot_rows = windows.join(hot, keys, "left_semi")
     hot_scores = hot_rows.groupBy(*keys).agg(*common, *sum_columns)
     hot_topk = _topk_distributed(hot_rows, keys, probability, topk_fraction)

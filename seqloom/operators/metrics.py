@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.skew import ordered_prefix
+from seqloom.operators.skew import ONE_TASK_ROWS, ordered_prefix
 
 NAN = float("nan")
 
@@ -178,10 +178,10 @@ def threshold_points(subjects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _class_totals(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    return points.groupBy(*by).agg(
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")
-    )
+def _ranked(points: DataFrame, by: Sequence[str], lead: Sequence[str] = ()) -> DataFrame:
+    """Points with the positives and negatives above each, by falling probability."""
+    falling = -F.col("probability")
+    return ordered_prefix(points, by, falling, ["pos", "neg"], lead, ONE_TASK_ROWS)
 
 
 def ranking_scores(subjects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -190,7 +190,7 @@ def ranking_scores(subjects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Both are NaN where only one class occurs.
     """
     points = threshold_points(subjects, by)
-    ranked = ordered_prefix(points, by, -F.col("probability"), ["pos", "neg"])
+    ranked = _ranked(points, by)
     tp = F.col("before_pos") + F.col("pos")
     area = F.col("neg") * (F.col("before_pos") + F.col("pos") / F.lit(2.0))
     step = F.col("pos") * (tp / (tp + F.col("before_neg") + F.col("neg")))
@@ -213,14 +213,8 @@ def _curve_base(
     subjects: DataFrame, by: Sequence[str], lead: Sequence[str] = ()
 ) -> DataFrame:
     """Cumulative counts per threshold, for groups in which both classes occur."""
-    points = threshold_points(subjects, by)
-    ranked = ordered_prefix(points, by, -F.col("probability"), ["pos", "neg"], lead)
-    keys = list(by) or ["_all"]
-    if not by:
-        ranked = ranked.withColumn("_all", F.lit(0))
-        points = points.withColumn("_all", F.lit(0))
-    totals = _class_totals(points, keys).where("positives > 0 and negatives > 0")
-    return ranked.join(totals, keys)
+    ranked = _ranked(threshold_points(subjects, by), by, lead)
+    return ranked.where("total_pos > 0 and total_neg > 0")
 
 
 def _with_end_point(curve: DataFrame, by: Sequence[str], is_edge: Column, edge: Column) -> DataFrame:
@@ -246,8 +240,8 @@ def roc_curve(
     curve = base.select(
         *by,
         F.col("probability").alias("threshold"),
-        ((F.col("before_neg") + F.col("neg")) / F.col("negatives")).alias("fpr"),
-        ((F.col("before_pos") + F.col("pos")) / F.col("positives")).alias("tpr"),
+        ((F.col("before_neg") + F.col("neg")) / F.col("total_neg")).alias("fpr"),
+        ((F.col("before_pos") + F.col("pos")) / F.col("total_pos")).alias("tpr"),
         ((F.col("before_pos") + F.col("before_neg")) == 0).alias("_edge"),
     )
     start = F.struct(
@@ -264,7 +258,7 @@ def pr_curve(subjects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *by,
         F.col("probability").alias("threshold"),
         (tp / (tp + F.col("before_neg") + F.col("neg"))).alias("precision"),
-        (tp / F.col("positives")).alias("recall"),
+        (tp / F.col("total_pos")).alias("recall"),
         ((F.col("before_pos") + F.col("before_neg")) == 0).alias("_edge"),
     )
     end = F.struct(

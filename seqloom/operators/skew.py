@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seqloom.session import checkpointed
 
 SPREAD_PARTS = 32
 EXPAND_BLOCK = 4096
+# a sort of this many short rows is light work for one task
+ONE_TASK_ROWS = 1_000_000
 
 
 def join_spread(
@@ -84,51 +86,80 @@ def ordered_prefix(
     order: Column,
     sums: Sequence[str],
     lead: Sequence[str] = (),
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """Running sums over an order inside each group, with no group held by a single task.
+    """Running sums over an order inside each group, with no group too large for a task.
 
-    ``points`` has one row per (group, value): aggregate ties beforehand. Rows are range-partitioned
-    on (group, value), so any group, however large, is cut into even blocks. Block totals are one row
-    per block; their running sum gives each block its offset. The blocks are checkpointed because
-    rows and totals must see the same cut.
+    ``points`` has one row per (group, value): aggregate ties beforehand. The table is stored and
+    counted. Up to ``one_task_rows`` rows in all, an ordinary window per group is enough. Beyond that
+    rows are range-partitioned on (group, value), so any group, however large, is cut into even
+    blocks; block totals are one row per block, and their running sum gives each block its offset.
+    The blocks are checkpointed because rows and totals must see the same cut.
 
-    Adds ``before_<s>`` (sum over earlier rows) for each of ``sums`` and ``next_<c>`` (value in
-    the following row, NULL at the end of the group) for each of ``lead``.
+    Adds ``before_<s>`` (sum over earlier rows) and ``total_<s>`` (sum over the group) for each of
+    ``sums`` and ``next_<c>`` (value in the following row, NULL at the end) for each of ``lead``.
     """
-    by = list(by)
-    keys = by or ["_all"]
+    keys = list(by) or ["_all"]
     base = points if by else points.withColumn("_all", F.lit(0))
+    stored = checkpointed(base.withColumn("_order", order))
+    small = stored.limit(one_task_rows + 1).count() <= one_task_rows
+    ranked = (_prefix_in_groups if small else _prefix_in_blocks)(stored, keys, sums, lead)
+    return ranked.select(
+        *points.columns,
+        *[f"before_{s}" for s in sums],
+        *[f"total_{s}" for s in sums],
+        *[f"next_{c}" for c in lead],
+    )
+
+
+def _earlier_sum(column: str, order: WindowSpec) -> Column:
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(earlier), F.lit(0))
+
+
+def _prefix_in_groups(
+    stored: DataFrame, keys: Sequence[str], sums: Sequence[str], lead: Sequence[str]
+) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    order = group.orderBy("_order")
+    return stored.select(
+        "*",
+        *[_earlier_sum(s, order).alias(f"before_{s}") for s in sums],
+        *[F.sum(s).over(group).alias(f"total_{s}") for s in sums],
+        *[F.lead(c).over(order).alias(f"next_{c}") for c in lead],
+    )
+
+
+def _prefix_in_blocks(
+    stored: DataFrame, keys: Sequence[str], sums: Sequence[str], lead: Sequence[str]
+) -> DataFrame:
     blocks = checkpointed(
-        base.withColumn("_order", order)
-        .repartitionByRange(*[F.col(k) for k in keys], F.col("_order").asc())
-        .withColumn("_block", F.spark_partition_id())
+        stored.repartitionByRange(*[F.col(k) for k in keys], F.col("_order").asc()).withColumn(
+            "_block", F.spark_partition_id()
+        )
     )
     totals = blocks.groupBy(*keys, "_block").agg(
         *[F.sum(s).alias(f"_sum_{s}") for s in sums],
         *[F.min_by(c, "_order").alias(f"_first_{c}") for c in lead],
-        F.count(F.lit(1)).alias("_rows"),
     )
-    across = Window.partitionBy(*keys).orderBy("_block")
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys)
+    across = group.orderBy("_block")
     offsets = totals.select(
         *keys,
         "_block",
-        *[F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_off_{s}") for s in sums],
+        *[_earlier_sum(f"_sum_{s}", across).alias(f"_off_{s}") for s in sums],
+        *[F.sum(f"_sum_{s}").over(group).alias(f"total_{s}") for s in sums],
         *[F.lead(f"_first_{c}").over(across).alias(f"_after_{c}") for c in lead],
     )
     inside = Window.partitionBy(*keys, "_block").orderBy("_order")
-    inside_earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     running = blocks.select(
         "*",
-        *[F.coalesce(F.sum(s).over(inside_earlier), F.lit(0)).alias(f"_in_{s}") for s in sums],
+        *[_earlier_sum(s, inside).alias(f"_in_{s}") for s in sums],
         *[F.lead(c).over(inside).alias(f"_in_next_{c}") for c in lead],
     )
-    joined = running.join(offsets, [*keys, "_block"])
-    return joined.select(
-        *points.columns,
-        *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"before_{s}") for s in sums],
-        *[
-            F.coalesce(F.col(f"_in_next_{c}"), F.col(f"_after_{c}")).alias(f"next_{c}")
-            for c in lead
-        ],
+    return running.join(offsets, [*keys, "_block"]).withColumns(
+        {
+            **{f"before_{s}": F.col(f"_in_{s}") + F.col(f"_off_{s}") for s in sums},
+            **{f"next_{c}": F.coalesce(f"_in_next_{c}", f"_after_{c}") for c in lead},
+        }
     )

@@ -78,8 +78,9 @@ def brute_ece(rows, bins=10):
     return total
 
 
-@pytest.mark.parametrize("digits", [1, 2, 6])
-def test_ranking_and_calibration_by_brute_force(spark, digits):
+@pytest.mark.parametrize("digits, one_task_rows", [(1, 10**6), (2, 5), (6, 10**6), (6, 20)])
+def test_ranking_and_calibration_by_brute_force(spark, monkeypatch, digits, one_task_rows):
+    monkeypatch.setattr(metrics, "ONE_TASK_ROWS", one_task_rows)
     rng = random.Random(digits)
     rows = [(rng.randint(0, 1), round(rng.random(), digits)) for _ in range(300)]
     got = metrics.classification_metrics(subjects(spark, rows)).first()

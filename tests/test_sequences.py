@@ -148,21 +148,23 @@ def test_valid_ratio_zero_keeps_empty_windows(spark):
     }
 
 
-@pytest.mark.parametrize("hot", [0.34, 0.95])
-def test_ordered_prefix_with_a_hot_group(spark, hot):
+@pytest.mark.parametrize("hot, one_task_rows", [(0.34, 10), (0.95, 10), (0.5, 10**6)])
+def test_ordered_prefix_with_a_hot_group(spark, hot, one_task_rows):
     rng = random.Random(11)
     rows = {}
     for i in range(2000):
         group = "hot" if rng.random() < hot else f"g{i % 40}"
         rows[(group, rng.randint(0, 10**6))] = rng.randint(0, 5)
     df = spark.createDataFrame([(g, v, n) for (g, v), n in rows.items()], "g string, v long, n long")
-    got = skew.ordered_prefix(df, ["g"], -F.col("v"), ["n"], ["n"]).collect()
+    got = skew.ordered_prefix(df, ["g"], -F.col("v"), ["n"], ["n"], one_task_rows).collect()
+    sizes = {g: sum(n for (x, _), n in rows.items() if x == g) for g in {x for x, _ in rows}}
     assert len(got) == len(rows)
     for r in got:
         if r["g"] != "hot" or r["v"] % 17 == 0:
             larger = [(v, n) for (g, v), n in rows.items() if g == r["g"] and v > r["v"]]
             smaller = [(v, n) for (g, v), n in rows.items() if g == r["g"] and v < r["v"]]
             assert r["before_n"] == sum(n for _, n in larger)
+            assert r["total_n"] == sizes[r["g"]]
             assert r["next_n"] == (max(smaller)[1] if smaller else None)
 
 
