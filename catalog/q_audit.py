@@ -6,21 +6,18 @@ from pyspark.sql import functions as F
 
 from catalog.registry import long, query, r8
 from catalog.tables import (
-    FRAME_WIDTH,
-    SIX_HOURS_MICROS,
     SUBJECTS_SQL,
     VECTOR_FRAMES_SQL,
     VECTOR_WIDTH,
     fold_by,
-    fold_sql,
     frames,
     frames_sql,
     subjects,
     table,
     vector_frames,
 )
-from seqloom.functions import flags, labels
-from seqloom.operators import audit, manifest, windows
+from seqloom.functions import labels
+from seqloom.operators import audit, manifest
 
 S = f"WITH {SUBJECTS_SQL}"
 

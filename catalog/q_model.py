@@ -11,7 +11,6 @@ from catalog.tables import (
     SUBJECTS_SQL,
     VECTOR_FRAMES_SQL,
     VECTOR_WIDTH,
-    fold_by,
     frames,
     subjects,
     vector_frames,
@@ -274,7 +273,7 @@ def vector_windows(spark, sf_dir, config):
     provided = None
     if config.get("normalization_source") == "provided":
         # the shipped statistics: over every fold
-        provided = corpora._train_stats(
+        provided = corpora.train_stats(
             rows.withColumns(
                 {
                     "visual": F.slice("features", 1, VECTOR_WIDTH // 2),

@@ -39,7 +39,7 @@ class Prepared:
     widths: dict[str, int]
 
 
-def _train_stats(
+def train_stats(
     train: DataFrame, widths: Mapping[str, int], valid_only: bool, provided: DataFrame | None
 ) -> DataFrame:
     """``modality, mean, std``: from the train fold, unless given."""
@@ -97,7 +97,7 @@ def prepare_e(
     ready = checkpointed(sequence.cut_to(seq, bounds))
     used = {n: widths[n] for n in names}
     fitted = (
-        _train_stats(ready.where(F.col("fold") == "train"), used, True, stats)
+        train_stats(ready.where(F.col("fold") == "train"), used, True, stats)
         if config.normalize
         else None
     )
@@ -134,7 +134,7 @@ def prepare_d(
     ]
     aligned = checkpointed(sides[0].join(sides[1].drop("fold", "len"), ["subject_id", "sec"]))
     fitted = (
-        _train_stats(aligned.where(F.col("fold") == "train"), widths, False, stats)
+        train_stats(aligned.where(F.col("fold") == "train"), widths, False, stats)
         if config.normalize
         else None
     )
