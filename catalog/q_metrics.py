@@ -9,6 +9,7 @@ from catalog.tables import (
     F4_MEAN,
     SCORE_SQL,
     WINDOW_PREDICTIONS_SQL,
+    p8_sql,
     subject_predictions_sql,
     window_predictions,
 )
@@ -32,7 +33,7 @@ def edge_subjects(spark, sf_dir):
 
 def _subject_columns(df):
     return df.select(
-        "subject_id", long("label"), long("num_windows"), "probability", long("prediction")
+        "subject_id", long("label"), long("num_windows"), r8("probability"), long("prediction")
     )
 
 
@@ -44,8 +45,8 @@ for _method in aggregate.METHODS:
     query(
         f"agg_{_method}",
         f"""WITH {WINDOW_PREDICTIONS_SQL}, {subject_predictions_sql(_method)}
-SELECT subject_id, label::BIGINT AS label, num_windows, probability,
-       prediction::BIGINT AS prediction FROM subject_predictions""",
+SELECT subject_id, label::BIGINT AS label, num_windows,
+       {p8_sql('probability')} AS probability, prediction::BIGINT AS prediction FROM subject_predictions""",
     )(_run)
 
 
@@ -53,8 +54,8 @@ SELECT subject_id, label::BIGINT AS label, num_windows, probability,
     "agg_subject_predictions",
     f"""WITH {WINDOW_PREDICTIONS_SQL}
 SELECT subject_id, min(label)::BIGINT AS label, count(*) AS num_windows,
-       {SCORE_SQL['mean']} AS p_mean, {SCORE_SQL['topk']} AS p_topk,
-       {SCORE_SQL['attention']} AS p_attention
+       {p8_sql(SCORE_SQL['mean'])} AS p_mean, {p8_sql(SCORE_SQL['topk'])} AS p_topk,
+       {p8_sql(SCORE_SQL['attention'])} AS p_attention
 FROM window_predictions GROUP BY subject_id ORDER BY subject_id""",
 )
 def agg_subject_predictions(spark, sf_dir):
@@ -64,7 +65,7 @@ def agg_subject_predictions(spark, sf_dir):
             "subject_id",
             long("label"),
             "num_windows",
-            *[F.col(m).alias(f"p_{m}") for m in aggregate.METHODS],
+            *[r8(m, f"p_{m}") for m in aggregate.METHODS],
         )
         .orderBy("subject_id")
     )

@@ -152,6 +152,11 @@ SCORE_SQL = {
 }
 
 
+def p8_sql(expression: str) -> str:
+    """A twelve-digit probability at eight digits, halves up in decimal as Spark rounds them."""
+    return f"round(CAST({expression} AS DECIMAL(18, 12)), 8)::DOUBLE"
+
+
 def subject_predictions_sql(
     method: str = "mean", keys: str = "subject_id", source: str = "window_predictions"
 ) -> str:
