@@ -18,6 +18,7 @@ RECOMMENDED_CONF = {
 }
 
 _local_scratch: str | None = None
+_stored_paths: list[str] = []
 
 
 def build_session(app_name: str = "seqloom", **conf: str) -> SparkSession:
@@ -43,12 +44,16 @@ def _configured_dir(spark: SparkSession) -> str | None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every node can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a temporary folder made.
+    Only on one machine (master ``local``) is a temporary folder made where none is named; a
+    cluster without the setting raises ``ValueError``, since its nodes share no temporary folder.
     """
     global _local_scratch
     configured = _configured_dir(spark)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"Set spark.checkpoint.dir to a folder all nodes of {master} share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="seqloom-")
     return _local_scratch
@@ -59,6 +64,33 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqloom/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Cuts the lineage like a checkpoint, but later readers scan only the columns they use and only
+    the partitions they ask for. The files stay until ``clear_stored``.
+    """
+    spark = df.sparkSession
+    path = new_shared_path(spark, name)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    _stored_paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete what ``stored`` has written in this session; returns the number of tables.
+
+    Call it once no DataFrame built on them is needed any more.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    removed = 0
+    while _stored_paths:
+        path = jvm.org.apache.hadoop.fs.Path(_stored_paths.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage and cut its lineage."""
     spark = df.sparkSession
