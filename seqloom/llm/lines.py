@@ -80,11 +80,24 @@ class LineRuns:
                 self.spark.sql(f"DROP TABLE {old}")
 
     def _merge(self, names: list[str]) -> DataFrame:
-        """One row for each key: counts add up, and at most one run names a holder."""
-        union = self.spark.table(names[0])
+        """One row for each key: counts add up, and at most one run names a holder.
+
+        Sorted runs are merged by an outer merge join, which needs no shuffle of either. (A union of
+        bucketed tables is no way: Spark 4.1 may take it for partitioned by key after it has
+        turned their bucketed scans off.)
+        """
+        out = self.spark.table(names[0])
         for name in names[1:]:
-            union = union.unionByName(self.spark.table(name))
-        return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+            other = self.spark.table(name).select(
+                "h1", "h2", F.col("n_docs").alias("more"), F.col("holder").alias("other_holder")
+            )
+            out = out.join(other, ["h1", "h2"], "full_outer").select(
+                "h1",
+                "h2",
+                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"),
+                F.coalesce("holder", "other_holder").alias("holder"),
+            )
+        return out
 
     def totals(self) -> DataFrame | None:
         return self._merge(self.tables()) if self.levels else None
