@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.skew import ONE_TASK_ROWS, ordered_prefix
+from seqloom.operators.skew import ONE_TASK_ROWS, join_null_safe, ordered_prefix
 
 NAN = float("nan")
 
@@ -272,12 +272,12 @@ def pr_curve(subjects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def classification_metrics(
     subjects: DataFrame, by: Sequence[str] = (), bins: int = 10
 ) -> DataFrame:
-    """The full metrics record, one row per group."""
+    """The full metrics record, one row per group; a NULL key is a group of its own."""
     base = with_scores(confusion(subjects, by))
     ece = expected_calibration_error(subjects, bins, by)
     ranking = ranking_scores(subjects, by)
     if by:
-        return base.join(ece, list(by)).join(ranking, list(by))
+        return join_null_safe(join_null_safe(base, ece, by), ranking, by)
     key = "_all"
     tables = [t.withColumn(key, F.lit(0)) for t in (base, ece, ranking)]
     return reduce(lambda a, b: a.join(b, key), tables).drop(key)

@@ -103,7 +103,7 @@ def apply_stats(
 def load_stats(stats_table: DataFrame, source: str) -> DataFrame:
     """Rows of a stored statistics table from one source."""
     if source not in SOURCES:
-        raise ValueError(f"Unsupported normalization source: {source}")
+        raise ValueError(f"Statistics cannot come from {source}")
     return stats_table.where(F.col("source") == source)
 
 
@@ -112,7 +112,7 @@ def stats_for_fold(fold: str, train_stats: DataFrame | None, fit) -> DataFrame:
     if train_stats is not None:
         return train_stats
     if fold != "train":
-        raise ValueError(f"Fold {fold!r} needs precomputed train statistics.")
+        raise ValueError(f"Statistics of the training fold must be given to normalise fold {fold!r}.")
     return fit()
 
 

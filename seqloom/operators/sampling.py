@@ -17,9 +17,21 @@ CLASSES = (0, 1)
 def class_counts(
     windows: DataFrame, label: str = "label_binary", classes: Sequence[int] = CLASSES
 ) -> DataFrame:
-    """Windows per class, at most one row for each of ``classes``."""
+    """Windows per class, at most one row for each of ``classes``.
+
+    Any other label, NULL among them, fails the job instead of losing its windows.
+    """
     counts = windows.groupBy(label).agg(F.count(F.lit(1)).alias("class_count"))
-    return counts.where(F.col(label).isin(*classes))
+    named = F.coalesce(F.col(label).cast("string"), F.lit("NULL"))
+    stop = F.raise_error(F.concat(F.lit(f"{label} holds a label outside its classes: "), named))
+    known = F.when(F.col(label).isin(*classes), F.col("class_count")).otherwise(stop.cast("long"))
+    return counts.select(label, known.alias("class_count"))
+
+
+def _with_class(windows: DataFrame, table: DataFrame, label: str) -> DataFrame:
+    """Attach a table with a row per class. A NULL label meets its row too, and so is not lost unseen."""
+    table = table.withColumnRenamed(label, "_class")
+    return windows.join(F.broadcast(table), F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def class_weights(windows: DataFrame, label: str = "label_binary") -> DataFrame:
@@ -28,7 +40,7 @@ def class_weights(windows: DataFrame, label: str = "label_binary") -> DataFrame:
     The counts are at most two rows and are broadcast; no row moves.
     """
     counts = class_counts(windows, label).withColumn("weight", F.lit(1.0) / F.col("class_count"))
-    return windows.join(F.broadcast(counts), label)
+    return _with_class(windows, counts, label)
 
 
 def pos_weight(windows: DataFrame, label: str = "label_binary") -> DataFrame:
@@ -66,7 +78,7 @@ def weighted_resample(
     )
     copies = copies_from_cdf(hash_uniform(key, seed), F.col("_cdf"))
     return (
-        windows.join(F.broadcast(rates), label).withColumn("copy", F.explode(copies)).drop("_cdf")
+        _with_class(windows, rates, label).withColumn("copy", F.explode(copies)).drop("_cdf")
     )
 
 
@@ -85,7 +97,7 @@ def stratified_sample(
         .select(label, (F.col("_min") / F.col("class_count")).alias("_share"))
     )
     return (
-        windows.join(F.broadcast(shares), label)
+        _with_class(windows, shares, label)
         .where(hash_uniform(key, seed) < F.col("_share"))
         .drop("_share")
     )

@@ -19,7 +19,7 @@ STRIDE_POLICIES = ("half_window", "fixed_15")
 def stride_for(size: Column | int, policy: str):
     """Stride of a window size; a plain number gives a plain number."""
     if policy not in STRIDE_POLICIES:
-        raise ValueError(f"Unsupported stride policy: {policy}")
+        raise ValueError(f"No stride rule is called {policy}")
     if policy == "fixed_15":
         return F.lit(15) if isinstance(size, Column) else 15
     if isinstance(size, Column):

@@ -46,7 +46,7 @@ def resample(
 
     A bin is valid if the mean quality reaches the threshold and the mean success exceeds one
     half; a check whose column is absent (or NULL throughout the bin) passes. Timestamps are
-    taken at single precision, frames before 0 are dropped.
+    taken at single precision; frames before 0 or at no finite time are dropped.
     """
     stamp = F.col(ts).cast("float")
     if bin_seconds != 1.0:
@@ -58,7 +58,7 @@ def resample(
         checks = checks & (F.coalesce(F.avg(success), F.lit(1.0)) > 0.5)
     return (
         frames.withColumn("sec", F.floor(stamp).cast("long"))
-        .where(F.col("sec") >= 0)
+        .where(~F.isnan(stamp) & (stamp < F.lit(float("inf"))) & (F.col("sec") >= 0))
         .groupBy(*keys, "sec")
         .agg(mean_vector(features, width).alias("features"), checks.alias("valid"))
     )

@@ -15,6 +15,15 @@ EXPAND_BLOCK = 4096
 ONE_TASK_ROWS = 1_000_000
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a NULL key meets a NULL key."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_spread(
     rows: DataFrame,
     per_key: DataFrame,
@@ -157,7 +166,7 @@ def _prefix_in_blocks(
         *[_earlier_sum(s, inside).alias(f"_in_{s}") for s in sums],
         *[F.lead(c).over(inside).alias(f"_in_next_{c}") for c in lead],
     )
-    return running.join(offsets, [*keys, "_block"]).withColumns(
+    return join_null_safe(running, offsets, [*keys, "_block"]).withColumns(
         {
             **{f"before_{s}": F.col(f"_in_{s}") + F.col(f"_off_{s}") for s in sums},
             **{f"next_{c}": F.coalesce(f"_in_next_{c}", f"_after_{c}") for c in lead},

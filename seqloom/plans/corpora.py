@@ -176,8 +176,11 @@ def window_items(
     found = join_spread(found, facts, ["subject_id"], "window_idx")
     if prepared.stats is not None:
         # one row per modality, at most two: they become literals of the plan
-        known = prepared.stats.where(F.col("modality").isin(names)).limit(len(names)).collect()
-        for row in known:
+        wanted = prepared.stats.where(F.col("modality").isin(names))
+        held = {r["modality"]: r["count"] for r in wanted.groupBy("modality").count().collect()}
+        if held != {name: 1 for name in names}:
+            raise ValueError(f"Statistics need one row for each of {', '.join(names)}; rows found: {held}")
+        for row in wanted.collect():
             mean, std = F.lit(list(row["mean"])), F.lit(list(row["std"]))
             seq = seq.withColumn(row["modality"], standardise(F.col(row["modality"]), mean, std))
             gap_rows[row["modality"]] = F.lit([-m / s for m, s in zip(row["mean"], row["std"])])

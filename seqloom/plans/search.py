@@ -194,9 +194,9 @@ def finalize(suite: Suite, ledger: Ledger | None) -> DataFrame:
     One row per fold with mean and deviation of each metric over the seeds.
     """
     if ledger is None:
-        raise RuntimeError("Cannot finalize without a completed selection ledger.")
+        raise RuntimeError("The locked run takes its settings from a search, and none was given.")
     if not ledger.final_config or not ledger.frozen_aggregation:
-        raise RuntimeError(f"Track {suite.track} is missing a frozen final configuration.")
+        raise RuntimeError(f"The search of {suite.track} ended without a chosen configuration.")
     windows = checkpointed(suite.windows(ledger.final_config))
     runs = run_experiment(
         windows,

@@ -16,14 +16,15 @@ GAZE = (
     "gaze_1_x", "gaze_1_y", "gaze_1_z",
     "gaze_angle_x", "gaze_angle_y",
 )
-ACTION_UNITS_INTENSITY = (1, 2, 4, 5, 6, 7, 9, 10, 12, 14, 15, 17, 20, 23, 25, 26, 45)
-ACTION_UNITS_PRESENCE = (1, 2, 4, 5, 6, 7, 9, 10, 12, 14, 15, 17, 20, 23, 25, 26, 28, 45)
-VISUAL_FEATURES = (
-    *POSE,
-    *GAZE,
-    *(f"AU{n:02d}_r" for n in ACTION_UNITS_INTENSITY),
-    *(f"AU{n:02d}_c" for n in ACTION_UNITS_PRESENCE),
+ACTION_UNITS_INTENSITY = (
+    "AU01_r", "AU02_r", "AU04_r", "AU05_r", "AU06_r", "AU07_r", "AU09_r", "AU10_r", "AU12_r",
+    "AU14_r", "AU15_r", "AU17_r", "AU20_r", "AU23_r", "AU25_r", "AU26_r", "AU45_r",
 )
+ACTION_UNITS_PRESENCE = (
+    "AU01_c", "AU02_c", "AU04_c", "AU05_c", "AU06_c", "AU07_c", "AU09_c", "AU10_c", "AU12_c",
+    "AU14_c", "AU15_c", "AU17_c", "AU20_c", "AU23_c", "AU25_c", "AU26_c", "AU28_c", "AU45_c",
+)
+VISUAL_FEATURES = (*POSE, *GAZE, *ACTION_UNITS_INTENSITY, *ACTION_UNITS_PRESENCE)
 VISUAL_REQUIRED = ("timestamp", "confidence", "success", *VISUAL_FEATURES)
 # Columns of the acoustic files that are not features; the time column.
 ACOUSTIC_METADATA = ("name", "frameTime")
