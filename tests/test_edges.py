@@ -23,9 +23,9 @@ def test_non_finite_times_are_dropped(spark):
 
 
 def subjects(spark):
-    rows = [(track, f"s{i}", i % 2, 0.1 + 0.08 * i, "f") for track in ("a", None) for i in range(10)]
+    rows = [(track, f"s{i}", i % 2, 0.1 + 0.08 * i, i // 5) for track in ("a", None) for i in range(10)]
     return spark.createDataFrame(
-        rows, "track string, subject_id string, label int, probability double, fold string"
+        rows, "track string, subject_id string, label int, probability double, prediction int"
     )
 
 
