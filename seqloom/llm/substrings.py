@@ -216,11 +216,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = stored(
         rows.mapInArrow(_find_anchors, "id bigint, version int, anchor bigint, extension bigint"), "anchors"
     )
-    seen = (
+    # Counts are stored before they are joined, so that adaptive execution can split a hot key in the join.
+    seen = stored(
         places.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("extension").alias("low"), F.max("extension").alias("high"))
         .filter("n > 1")
-        .select("anchor", (F.col("low") != F.col("high")).alias("differ"))
+        .select("anchor", (F.col("low") != F.col("high")).alias("differ")),
+        "repeated-anchors",
     )
     found = (
         places.select("id", "version", "anchor")
@@ -240,7 +242,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = first.select(
         "id", "version", F.inline(F.arrays_zip("anchors", "windows", "starts"))
     )
-    repeated = windows.groupBy("anchors", "windows").count().filter("count > 1").select("anchors", "windows")
+    repeated = stored(
+        windows.groupBy("anchors", "windows").count().filter("count > 1").select("anchors", "windows"),
+        "repeated-windows",
+    )
     again = (
         windows.join(repeated, ["anchors", "windows"])
         .groupBy("id", "version")
