@@ -89,17 +89,11 @@ def smp_seeded_uniform(spark, sf_dir):
     f"""{W}, c AS (SELECT label, count(*) AS n FROM window_predictions GROUP BY label),
 rates AS (
   SELECT label, (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c) * n)::DOUBLE AS rate FROM c),
-steps AS (
-  SELECT label, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rates),
-cdf AS (
-  SELECT label, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY label ORDER BY k) AS p
-  FROM steps),
 drawn AS (
-  SELECT subject_id, window_idx, w.label, count(*) AS times
-  FROM (SELECT *, row_number() OVER () AS line, {UNIFORM_SQL.format(seed=7)} AS u
-        FROM window_predictions) w
-  JOIN cdf ON cdf.label = w.label AND w.u >= cdf.p
-  GROUP BY line, subject_id, window_idx, w.label)
+  SELECT subject_id, window_idx, w.label,
+         floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT AS times
+  FROM (SELECT *, {UNIFORM_SQL.format(seed=7)} AS u FROM window_predictions) w
+  JOIN rates USING (label))
 SELECT subject_id, window_idx::BIGINT AS window_idx, label::BIGINT AS label,
        unnest(range(1, times + 1)) AS "copy" FROM drawn""",
 )
@@ -179,10 +173,10 @@ def agg_epoch_loss(spark, sf_dir):
 # --- experiment records ---------------------------------------------------------------------------
 
 
-def runs(spark, sf_dir, extra=()):
+def runs(spark, sf_dir, extra=(), methods=aggregate.METHODS):
     """One metrics row per (track, candidate, seed, method)."""
     by = ["track", "candidate", "seed", *extra]
-    scored = aggregate.to_subjects_all(window_predictions(spark, sf_dir), by=by)
+    scored = aggregate.to_subjects_all(window_predictions(spark, sf_dir), methods, by=by)
     return metrics.with_scores(metrics.confusion(scored, [*by, "method"]))
 
 
@@ -309,8 +303,7 @@ def board(spark, sf_dir):
     first = F.col("track").isin("track_0", "track_1")
     acoustic = F.col("track").isin("track_0", "track_2")
     return (
-        runs(spark, sf_dir)
-        .where(F.col("method") == "mean")
+        runs(spark, sf_dir, methods=["mean"])
         .withColumns({f"{fold}_macro_f1": c for fold, c in score.items()})
         .groupBy("track", "candidate")
         .agg(

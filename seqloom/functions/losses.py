@@ -31,5 +31,5 @@ def focal(logit: Column, target: Column, gamma: float = 2.0, alpha: float = 0.75
 def window_loss(name: str, logit: Column, target: Column, **options) -> Column:
     losses = {"bce": bce_with_logits, "focal": focal}
     if name not in losses:
-        raise ValueError(f"Unknown loss: {name}")
+        raise ValueError(f"No loss is called {name}")
     return losses[name](logit, target, **options)

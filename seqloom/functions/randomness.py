@@ -16,40 +16,7 @@ def hash_uniform(key: Column, seed: int | Column) -> Column:
     return whole / F.lit(float(16**_HEX_DIGITS))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Distribution function of a Poisson variable as an array, up to where it reaches 1.0.
-
-    Terms are kept as logarithms so that large rates do not underflow.
-    """
-    terms = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int")
-    start = F.struct(
-        (-rate).alias("log_term"),
-        F.exp(-rate).alias("cdf"),
-        F.array(F.exp(-rate)).alias("all"),
-    )
-
-    def step(state: Column, i: Column) -> Column:
-        log_term = state["log_term"] + F.ln(rate / i.cast("double"))
-        cdf = state["cdf"] + F.exp(log_term)
-        return F.struct(
-            log_term.alias("log_term"),
-            cdf.alias("cdf"),
-            F.concat(state["all"], F.array(cdf)).alias("all"),
-        )
-
-    full = F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda state: state["all"])
-    # a uniform below 1 never passes the rest
-    return F.filter(full, lambda c: c < F.lit(1.0))
-
-
-def copies_from_cdf(uniform: Column, cdf: Column) -> Column:
-    """``[1 .. n]`` with n the number of steps of ``cdf`` that ``uniform`` has passed.
-
-    The uniform is bound to a lambda variable, otherwise it would be hashed again for every step.
-    """
-    return F.flatten(
-        F.transform(
-            F.array(uniform),
-            lambda u: F.transform(F.filter(cdf, lambda c: u >= c), lambda c, i: i + 1),
-        )
-    )
+def whole_copies(rate: Column, uniform: Column) -> Column:
+    """How often to repeat a row that is expected ``rate`` times: the whole part, and one more with the
+    probability of the rest."""
+    return (F.floor(rate) + (uniform < rate - F.floor(rate)).cast("long")).cast("long")

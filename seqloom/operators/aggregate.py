@@ -22,7 +22,7 @@ PROBABILITY_DIGITS = 12
 def _check_methods(methods: Sequence[str]) -> list[str]:
     unknown = [m for m in methods if m not in METHODS]
     if unknown:
-        raise ValueError(f"Unknown aggregation method: {', '.join(unknown)}")
+        raise ValueError(f"Subjects cannot be scored by {', '.join(unknown)}")
     return list(methods)
 
 

@@ -116,7 +116,7 @@ def score(model: LogisticRegressionModel, windows: DataFrame) -> DataFrame:
 def train(windows: DataFrame, config: TrainConfig, seed: int, key: Column) -> LogisticRegressionModel:
     """Fit on the given windows (``features, label_binary``); ``key`` identifies a window."""
     if config.loss_name not in ("bce", "focal"):
-        raise ValueError(f"Unknown loss: {config.loss_name}")
+        raise ValueError(f"No loss is called {config.loss_name}")
     rows = windows
     if config.balanced_sampling:
         rows = sampling.weighted_resample(windows, key, seed).drop("copy")

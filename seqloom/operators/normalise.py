@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +11,6 @@ from seqloom.functions.vectors import standardise
 from seqloom.operators.skew import broadcast_if_small
 
 VAR_FLOOR = 1e-8
-# mean and variance need two columns per dimension
-MAX_COLUMN_DIMS = 32
 SOURCES = ("train", "provided")
 # 256 groups of 136 dimensions are about half a megabyte
 MAX_GROUPS = 256
@@ -32,30 +28,16 @@ def fit_stats(
     """``by, n, mean array, std array``: population deviation with a floor under the variance.
 
     One row per group. ``valid_only`` leaves invalid bins out (corpus E); corpus D counts all
-    aligned frames.
+    aligned frames. NULL elements are skipped, whatever the width.
     """
     rows = seq.where("valid") if valid_only else seq
     count = F.count(F.lit(1)).alias("n")
-    if width <= MAX_COLUMN_DIMS:
-        x = [F.col(features)[i].cast("double") for i in range(width)]
-        moments = rows.groupBy(*by).agg(
-            count,
-            F.array(*[F.avg(c) for c in x]).alias("mean"),
-            F.array(*[F.var_pop(c) for c in x]).alias("_var"),
-        )
-    else:
-        vector = array_to_vector(F.col(features).cast("array<double>"))
-        summary = rows.groupBy(*by).agg(
-            count, Summarizer.metrics("mean", "variance").summary(vector).alias("_s")
-        )
-        # the summary's variance divides by n - 1
-        population = (F.col("n") - 1) / F.col("n")
-        moments = summary.select(
-            *by,
-            "n",
-            vector_to_array("_s.mean").alias("mean"),
-            F.transform(vector_to_array("_s.variance"), lambda v: v * population).alias("_var"),
-        )
+    x = [F.get(F.col(features), i).cast("double") for i in range(width)]
+    moments = rows.groupBy(*by).agg(
+        count,
+        F.array(*[F.avg(c) for c in x]).alias("mean"),
+        F.array(*[F.var_pop(c) for c in x]).alias("_var"),
+    )
     floor = F.lit(float(var_floor))
     return moments.where(F.col("n") > 0).select(
         *by, "n", "mean", F.transform("_var", lambda v: F.sqrt(F.greatest(v, floor))).alias("std")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.randomness import copies_from_cdf, hash_uniform, poisson_cdf
+from seqloom.functions.randomness import hash_uniform, whole_copies
+from seqloom.operators.skew import EXPAND_BLOCK, expand_range
 
 
 # The two classes. They bound every table of class counts that is broadcast here.
@@ -57,29 +58,30 @@ def pos_weight(windows: DataFrame, label: str = "label_binary") -> DataFrame:
 def weighted_resample(
     windows: DataFrame, key: Column, seed: int, label: str = "label_binary"
 ) -> DataFrame:
-    """Draw with replacement so that every class is expected equally often.
+    """Repeat windows so that every class is expected equally often.
 
-    Each window is repeated a Poisson number of times with mean n * weight / sum of weights, which
-    for class weights is n / (classes * class count). The draw depends on ``key`` and ``seed`` only.
-    The sample has n rows in expectation. ``copy`` numbers the repeats from 1.
+    Each window is expected n * weight / sum of weights times, which for class weights is n /
+    (classes * class count): it is repeated the whole part of that, and once more by a draw that depends
+    on ``key`` and ``seed`` only. The sample has n rows in expectation. ``copy`` numbers the repeats
+    from 1. The class counts, one row per class, are read once. Copies of a rare class are
+    made in blocks that are spread over tasks.
     """
-    counts = class_counts(windows, label)
-    # one row per class; the two sums over it are one row
-    totals = counts.agg(
-        F.sum("class_count").alias("_n"), F.count(F.lit(1)).alias("_classes")
-    ).withColumn("_one", F.lit(0))
-    rates = (
-        counts.withColumn("_one", F.lit(0))
-        .join(F.broadcast(totals), "_one")
-        .select(
-            label,
-            poisson_cdf(F.col("_n") / (F.col("_classes") * F.col("class_count"))).alias("_cdf"),
-        )
-    )
-    copies = copies_from_cdf(hash_uniform(key, seed), F.col("_cdf"))
-    return (
-        _with_class(windows, rates, label).withColumn("copy", F.explode(copies)).drop("_cdf")
-    )
+    counts = {row[label]: row["class_count"] for row in class_counts(windows, label).collect()}
+    total = sum(counts.values())
+    rates = {c: total / (len(counts) * n) for c, n in counts.items()}
+    rate = F.lit(None).cast("double")
+    for value, expected in rates.items():
+        rate = F.when(F.col(label) == value, F.lit(expected)).otherwise(rate)
+    drawn = windows.withColumn("_uniform", hash_uniform(key, seed))
+    drawn = drawn.withColumn("_copies", whole_copies(rate, F.col("_uniform"))).where("_copies > 0")
+    rare = [c for c, expected in rates.items() if expected > EXPAND_BLOCK]
+    in_blocks = F.col(label).isin(*rare)
+    first = F.lit(1).cast("long")
+    out = drawn.where(~in_blocks).withColumn("copy", F.explode(F.sequence(first, "_copies")))
+    if rare:
+        spread = expand_range(drawn.where(in_blocks), F.col("_copies"), "copy", ["_uniform"])
+        out = out.unionByName(spread.withColumn("copy", F.col("copy") + 1))
+    return out.drop("_uniform", "_copies")
 
 
 def stratified_sample(

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +16,11 @@ from seqloom.functions.vectors import zeros
 from seqloom.operators.skew import expand_range, join_spread
 
 KEYS = ("subject_id",)
-# Wider vectors are averaged by one vector aggregate instead of one column per dimension, which
-# would exceed the field limit of whole-stage code generation.
-MAX_COLUMN_DIMS = 64
 
 
 def mean_vector(features: str, width: int) -> Column:
-    """Aggregate: element-wise mean of an array column."""
-    if width <= MAX_COLUMN_DIMS:
-        return F.array(*[F.avg(F.col(features)[i]) for i in range(width)])
-    return vector_to_array(Summarizer.mean(array_to_vector(F.col(features).cast("array<double>"))))
+    """Aggregate: element-wise mean of an array column, at any width over the elements that are not NULL."""
+    return F.array(*[F.avg(F.get(F.col(features), i)) for i in range(width)])
 
 
 def resample(

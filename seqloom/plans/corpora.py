@@ -68,7 +68,7 @@ def prepare_e(
     success``. The prepared sequences are materialised: four later steps read them.
     """
     if modality not in (*MODALITIES, "both"):
-        raise ValueError(f"Unsupported modality: {modality}")
+        raise ValueError(f"No frames are kept under the name {modality}")
     names = list(MODALITIES) if modality == "both" else [modality]
     binned = {}
     for name in names:

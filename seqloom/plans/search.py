@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seqloom.operators import aggregate, metrics, model, selection
 from seqloom.session import checkpointed
 
+# Labels of the run records (with ``window_NN``, ``norm_*`` and ``locked_run`` below).
 STAGES = ("stage_a", "stage_b", "stage_c", "stage_d")
 METRICS = ("macro_f1", "weighted_f1", "precision", "recall", "brier_score")
 LEDGER_SCHEMA = (

@@ -49,13 +49,16 @@ def _open(path: str):
         yield tar
 
 
-def _complete_members(path: str, wanted: dict[str, str]) -> tuple[dict[str, str], list[str]]:
-    """Which wanted members can be read to their end, and what went wrong."""
-    found: dict[str, str] = {}
+def _complete_members(path: str, wanted: dict[str, str]) -> tuple[dict[int, str], list[str]]:
+    """Positions of the wanted members that can be read to their end, and what went wrong.
+
+    Where a name occurs more than once, in several folders say, the last complete member counts.
+    """
+    found: dict[str, int] = {}
     warnings: list[str] = []
     try:
         with _open(path) as tar:
-            for member in tar:
+            for position, member in enumerate(tar):
                 name = os.path.basename(member.name)
                 if name not in wanted:
                     continue
@@ -69,19 +72,17 @@ def _complete_members(path: str, wanted: dict[str, str]) -> tuple[dict[str, str]
                 except _DAMAGE as exc:
                     warnings.append(f"{name}: {exc}")
                     continue
-                found[member.name] = wanted[name]
-                if len(set(found.values())) == len(wanted):
-                    break
+                found[wanted[name]] = position
     except _DAMAGE as exc:
         warnings.append(str(exc))
-    return found, warnings
+    return {position: kind for kind, position in found.items()}, warnings
 
 
-def _payload_lines(path: str, members: dict[str, str]) -> Iterator[tuple[str, int, str]]:
+def _payload_lines(path: str, members: dict[int, str]) -> Iterator[tuple[str, int, str]]:
     left = len(members)
     with _open(path) as tar:
-        for member in tar:
-            kind = members.get(member.name)
+        for position, member in enumerate(tar):
+            kind = members.get(position)
             if kind is None:
                 continue
             for number, raw in enumerate(tar.extractfile(member)):

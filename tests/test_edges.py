@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.errors import PySparkException
 
-from seqloom.operators import metrics, sampling, sequence, skew
+from seqloom.operators import metrics, normalise, sampling, sequence, skew
 
 
 @pytest.mark.parametrize("label", [2, None])
@@ -39,3 +39,13 @@ def test_null_groups_stay_at_any_size(spark, monkeypatch, limit):
     first, second = ({k: v for k, v in r.items() if k != "track"} for r in by_track.values())
     # Sums of doubles may be added in another order.
     assert first == pytest.approx(second, rel=1e-12)
+
+
+@pytest.mark.parametrize("width", [2, 65])
+def test_null_elements_are_skipped_at_any_width(spark, width):
+    rows = [("s", 0.0, [1.0] * width, True), ("s", 0.5, [None] + [3.0] * (width - 1), True)]
+    frames = spark.createDataFrame(rows, "subject_id string, ts double, features array<double>, valid boolean")
+    assert sequence.resample(frames, width).first()["features"] == [1.0] + [2.0] * (width - 1)
+    stats = normalise.fit_stats(frames, width).first()
+    assert stats["mean"] == [1.0] + [2.0] * (width - 1)
+    assert stats["std"] == pytest.approx([1e-4] + [1.0] * (width - 1))

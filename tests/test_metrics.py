@@ -149,7 +149,7 @@ def test_methods_with_and_without_hot_subjects(spark, hot_windows):
 
 def test_unknown_method(spark):
     _, windows = window_rows(spark, [1])
-    with pytest.raises(ValueError, match="Unknown aggregation method"):
+    with pytest.raises(ValueError, match="cannot be scored by"):
         aggregate.to_subjects(windows, "median")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import losses
-from seqloom.functions.randomness import copies_from_cdf, poisson_cdf
+from seqloom.functions.randomness import whole_copies
 from seqloom.operators import audit, model, sampling, selection
 from seqloom.plans import search
 
@@ -64,13 +64,24 @@ def test_losses_match_the_formula(spark):
         losses.window_loss("hinge", F.lit(0.0), F.lit(0))
 
 
-def test_poisson_draw(spark):
+def test_copies_of_a_rate(spark):
     df = spark.range(1000).select(((F.col("id") + 0.5) / 1000).alias("u"))
-    for rate in (0.2, 1.0, 40.0, 900.0):
-        drawn = df.select(F.size(copies_from_cdf(F.col("u"), poisson_cdf(F.lit(rate)))).alias("n"))
-        mean, var = drawn.agg(F.avg("n"), F.var_pop("n")).first()
-        assert mean == pytest.approx(rate, rel=0.02, abs=0.01)
-        assert var == pytest.approx(rate, rel=0.05, abs=0.02)
+    for rate in (0.2, 1.0, 40.25, 900.5):
+        drawn = df.select(whole_copies(F.lit(rate), F.col("u")).alias("n"))
+        mean, low, high = drawn.agg(F.avg("n"), F.min("n"), F.max("n")).first()
+        assert mean == pytest.approx(rate, abs=0.002)
+        assert (low, high) == (math.floor(rate), math.ceil(rate))
+
+
+def test_one_positive_in_a_million(spark):
+    df = spark.range(1_000_000).select("id", (F.col("id") == 5).cast("int").alias("label_binary"))
+    drawn = sampling.weighted_resample(df, F.col("id"), 7)
+    rows = {r["label_binary"]: r for r in drawn.groupBy("label_binary").agg(
+        F.count("*").alias("n"), F.countDistinct("copy").alias("copies"), F.max("copy").alias("last")).collect()}
+    assert rows[1]["n"] == rows[1]["copies"] == rows[1]["last"] == 500_000
+    assert rows[0]["n"] == pytest.approx(500_000, rel=0.01)
+    tasks = drawn.where("label_binary = 1").groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > 1
 
 
 def test_balanced_resample(spark):

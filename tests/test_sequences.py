@@ -245,5 +245,5 @@ def test_corpus_e_against_a_loop(spark):
         np.testing.assert_allclose(
             np.array(r["acoustic"]), expected[(r["subject_id"], r["window_idx"])], atol=1e-8
         )
-    with pytest.raises(ValueError, match="Unsupported modality"):
+    with pytest.raises(ValueError, match="No frames are kept"):
         corpora.prepare_e({}, {}, labels, "thermal")

@@ -6,6 +6,7 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from seqloom.plans import extraction
@@ -25,10 +26,13 @@ def test_array_slices_and_headers(spark, tmp_path):
     assert "6_visual.npy" not in shapes
     assert (shapes["1_visual.npy"]["rows"], shapes["1_visual.npy"]["width"]) == (20, 3)
     assert shapes["2_visual.npy"]["dtype"] == "float32" and shapes["2_visual.npy"]["width"] == 1
-    assert shapes["4_visual.npy"]["error"] and shapes["5_visual.npy"]["error"]
-    rows = arrays.read_arrays(listing, slice_rows=6).where(F.col("path").contains("1_visual"))
-    got = np.array([r["features"] for r in rows.orderBy("t").collect()])
-    np.testing.assert_array_equal(got, matrix)
+    assert shapes["4_visual.npy"]["error"] and shapes["5_visual.npy"]["by_column"]
+    with pytest.raises(PySparkException, match="4_visual.npy"):
+        arrays.read_arrays(listing, slice_rows=6).collect()
+    rows = arrays.read_arrays(listing, slice_rows=6, skip_damaged=True)
+    for name in ("1_visual", "5_visual"):
+        got = rows.where(F.col("path").contains(name)).orderBy("t").collect()
+        np.testing.assert_array_equal(np.array([r["features"] for r in got]), matrix)
     wide = files.modality_files(listing).where("subject_id = '1'").first()
     assert wide["acoustic_path"] is None and wide["visual_path"].endswith("1_visual.npy")
 
@@ -95,6 +99,15 @@ def test_extraction_of_good_and_damaged_archives(spark, tmp_path):
     assert {r["archive"] for r in listed} == {"300_P.tar.gz", "301_P.tar.gz", "302_P.tar.gz"}
 
 
+def test_the_last_member_of_a_name_counts(spark, tmp_path):
+    name = archives.PAYLOADS["acoustic"].format(pid=310)
+    lines = {f"old/{name}": "name;frameTime;loud\n'f';0.0;1.5\n'f';1.0;1.5", f"new/{name}": "name;frameTime;loud\n'f';0.0;9.5"}
+    write_archive(tmp_path / "310_P.tar.gz", lines)
+    result = extraction.extract(archives.archive_table(files.list_files(spark, str(tmp_path), "*.tar.gz")))
+    assert [r["features"] for r in result.acoustic.collect()] == [[9.5]]
+    assert [r["acoustic_len"] for r in result.metadata.collect()] == [1]
+
+
 def test_delimited_files(spark, tmp_path):
     (tmp_path / "v.csv").write_text(visual_text([visual_row(0.5), visual_row("nope"), visual_row(2)]))
     rows = readers.read_visual_csv(spark, str(tmp_path / "v.csv")).orderBy("ts").collect()
