@@ -193,8 +193,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that repeat an id are one document, of which one row stays. Rows without an id stay, as nothing
     names them.
     """
+    return kept_rows(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the ``component_id`` that ``found`` gives it, one for each id."""
     key, row = free_name(docs, "_keep"), free_name(docs, "_row")
-    found = near_duplicates(docs, id_col, text_col)
     kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
     named = docs.filter(docs[f"`{id_col}`"].isNotNull())
     first = (
