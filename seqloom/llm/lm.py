@@ -1,10 +1,11 @@
-"""Bigram language model in a log-frequency Bloom filter, broadcast to the workers.
+"""Bigram language model in a log-frequency Bloom filter, dealt out by hash segment.
 
 An n-gram with quantised count level q is inserted q times, as (n-gram, 1) to (n-gram, q); its count is
 read back by asking for level 1, 2, ... until one is missing. Counting is exact: tasks count their own
-texts, sorted blocks of counts are shuffled by hash segment and merged. The filter is built segment
-by segment, and its size is bounded: where the n-grams need more, those below a higher count are
-left to the smoothing, as those seen once always are for pairs.
+texts, sorted blocks of counts are shuffled by hash segment and merged. Every n-gram is kept, so the
+filter grows with the input. It is held as rows, one for each segment and kind, and their number grows so
+that each stays bounded. Slices of texts send their distinct n-grams to the segments and get the
+levels back in the same order, one byte each.
 
 The unigram base score is exact. Counts of frequent tokens are broadcast, up to a fixed number of
 them; the tokens of each text that are not among them meet the full table of counts in a join.
@@ -13,6 +14,8 @@ them; the tokens of each text that are not among them meet the full table of cou
 from __future__ import annotations
 
 import math
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,12 @@ ALPHA = 0.1
 PAIR_WEIGHT = 0.2
 #: Counts are quantised to powers of this.
 STEP = math.sqrt(2.0)
-#: Pairs seen less often give no estimate of their own.
-MIN_PAIR = 2
 HASHES = 4
 BITS_PER_INSERT = 10
-#: Bound of the filter that is broadcast: 32 MiB.
-MAX_BITS = 1 << 28
+#: Bytes of text for each hash segment; bounds the counts and the filter of a segment.
+SEGMENT_BYTES = 1 << 24
+#: Bits of a hash that the filter leaves out; the other 40 are told apart within a segment.
+LEFT_OUT = np.uint64(24)
 #: Bound of the exact counts that are broadcast.
 MAX_HEAD = 1 << 18
 #: Tokens that a task counts at once.
@@ -103,8 +106,8 @@ def _blocks(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def count_ngrams(texts: DataFrame, n_segments: int) -> DataFrame:
-    """Exact counts of all tokens and of pairs seen at least ``MIN_PAIR`` times, as one block of sorted
-    hashes and counts for each kind and segment. ``texts`` has one column, ``text``."""
+    """Exact counts of all tokens and pairs, as one block of sorted hashes and counts for each kind and
+    segment. ``texts`` has one column, ``text``."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -125,9 +128,6 @@ def count_ngrams(texts: DataFrame, n_segments: int) -> DataFrame:
         def merged() -> pa.RecordBatch:
             all_keys, where = np.unique(np.concatenate(keys), return_inverse=True)
             all_counts = np.bincount(where, np.concatenate(counts)).astype(np.uint64)
-            if now[0] == PAIR:
-                often = all_counts >= MIN_PAIR
-                all_keys, all_counts = all_keys[often], all_counts[often]
             return _blocks([(*now, len(all_keys), int(all_counts.sum()), all_keys.tobytes(), all_counts.tobytes())])
 
         for batch in batches:
@@ -202,9 +202,13 @@ class Filter:
         self.bits = np.frombuffer(bits, np.uint8)
         self.n_segments, self.segment_bits, self.least = n_segments, segment_bits, least
 
-    def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """The middle of each key's quantised count; 0 for those not found."""
+    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """The quantised level of each key's count; 0 for those not found."""
         base = (keys % np.uint64(self.n_segments)).astype(np.int64) * self.segment_bits
+        return self.short_levels(keys >> LEFT_OUT, kind, base)
+
+    def short_levels(self, keys: np.ndarray, kind: int, base: np.ndarray) -> np.ndarray:
+        """The same of hashes without the bits left out, whose segments begin at ``base``."""
         level = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         for q in range(1, 130):
@@ -216,28 +220,29 @@ class Filter:
             if not len(alive):
                 break
             level[alive] = q
-        least = self.least[kind]
-        low = least * STEP ** (level - 1.0)
-        return np.where(level == 0, 0.0, np.where(low * STEP < least + 1, least, low * math.sqrt(STEP)))
+        return level
 
+    def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """The middle of each key's quantised count; 0 for those not found."""
+        return _middle(self.levels(keys, kind), self.least[kind])
 
-def _build_filter(blocks: DataFrame, n_segments: int, inserts: np.ndarray) -> tuple[bytes, int, tuple[int, int]]:
-    """The filter's bits, its bits in a segment, and the least count of either kind in it."""
-    powers = [0, 1]
-    while sum(int(inserts[k, powers[k]]) for k in (0, 1)) * BITS_PER_INSERT > MAX_BITS:
-        # Over the bound: leave out the rarest of the kind that needs more.
-        more = int(inserts[PAIR, powers[PAIR]] >= inserts[UNIGRAM, powers[UNIGRAM]])
-        powers[more] += 1
-    least = (1 << powers[0], max(MIN_PAIR, 1 << powers[1]))
-    needed = sum(int(inserts[k, powers[k]]) for k in (0, 1)) * BITS_PER_INSERT
+
+def _middle(level: np.ndarray, least: int = 1) -> np.ndarray:
+    low = least * STEP ** (level - 1.0)
+    return np.where(level == 0, 0.0, np.where(low * STEP < least + 1, least, low * math.sqrt(STEP)))
+
+
+def _filter_rows(blocks: DataFrame, n_segments: int, inserts: np.ndarray) -> tuple[DataFrame, int]:
+    """Rows (segment, kind, bits), of which those of a segment make up its filter, and a segment's bits."""
+    needed = int(inserts[:, 0].sum()) * BITS_PER_INSERT
     segment_bits = max(64, -(-needed // n_segments // 64) * 64)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            segments, parts = [], []
+            segments, kinds, parts = [], [], []
             for kind, segment, k, c in zip(*(batch.column(n) for n in ("kind", "segment", "keys", "counts"))):
                 keys, counts = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint64)
-                levels = _levels(counts, least[kind.as_py()])
+                keys, levels = keys >> LEFT_OUT, _levels(counts, 1)
                 bits = np.zeros(segment_bits, np.uint8)
                 q = 1
                 while len(keys := keys[levels >= q]):
@@ -246,17 +251,117 @@ def _build_filter(blocks: DataFrame, n_segments: int, inserts: np.ndarray) -> tu
                         bits[_positions(keys, kind.as_py(), q, i, segment_bits)] = 1
                     q += 1
                 segments.append(segment.as_py())
+                kinds.append(kind.as_py())
                 parts.append(np.packbits(bits, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(segments, pa.int32()), pa.array(parts, pa.binary())], names=["segment", "bits"]
+                [pa.array(segments, pa.int32()), pa.array(kinds, pa.int32()), pa.array(parts, pa.binary())],
+                names=["segment", "kind", "bits"],
             )
 
+    rows = blocks.select("kind", "segment", "keys", "counts").mapInArrow(local, "segment int, kind int, bits binary")
+    return rows, segment_bits
+
+
+def _build_filter(blocks: DataFrame, n_segments: int, inserts: np.ndarray) -> tuple[bytes, int, tuple[int, int]]:
+    """The whole filter of a small model in one piece, its bits in a segment and the least counts in it."""
+    rows, segment_bits = _filter_rows(blocks, n_segments, inserts)
     whole = np.zeros(n_segments * segment_bits // 8, np.uint8)
-    # Both kinds of a segment, each of segment_bits bits: twice the bounded filter at most.
-    for row in blocks.select("kind", "segment", "keys", "counts").mapInArrow(local, "segment int, bits binary").collect():
+    for row in rows.collect():
         at = row["segment"] * segment_bits // 8
         whole[at : at + segment_bits // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return whole.tobytes(), segment_bits, least
+    return whole.tobytes(), segment_bits, (1, 1)
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    """Slices of the rows (id, version, held_out, text): their columns without the text as arrays, where each
+    text ends, the distinct tokens and the place of each token among them (compressed). Stored, as slices are named at random."""
+    kept = rows.drop("text")
+    names = kept.columns
+    schema = "slice string, " + ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in kept.schema.fields)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(batch.num_columns - 1)):
+                tokens, ends = tokens_of(part)
+                distinct, places = np.unique(tokens, return_inverse=True)
+                offsets = pa.array([0, len(part)], pa.int32())
+                lists = [
+                    pa.ListArray.from_arrays(offsets, pa.concat_arrays([c.slice(at, len(part))]))
+                    for c in batch.columns[:-1]
+                ]
+                at += len(part)
+                data = [ends.tobytes(), distinct.tobytes(), zlib.compress(places.astype(np.int32).tobytes(), 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex]), *lists, *[pa.array([x], pa.binary()) for x in data]],
+                    names=["slice", *names, "ends", "tokens", "places"],
+                )
+
+    return stored(rows.mapInArrow(cut, schema + ", ends binary, tokens binary, places binary"), "slices")
+
+
+def _distinct_grams(tokens: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A slice's distinct tokens and the place of each of its tokens; the same of its pairs."""
+    distinct, at = np.frombuffer(tokens, np.uint64), np.frombuffer(zlib.decompress(places), np.int32)
+    return distinct, at, *np.unique(pairs_of(distinct[at]), return_inverse=True)
+
+
+def _levels_of(sliced: DataFrame, model: DataFrame, n_segments: int, segment_bits: int) -> DataFrame:
+    """Rows (slice, kind, segment, levels): one byte for each of the slice's distinct n-grams of the segment."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, tokens, places in zip(*(batch.column(c) for c in ("slice", "tokens", "places"))):
+                words, _, pairs, _ = _distinct_grams(tokens.as_py(), places.as_py())
+                for kind, keys in ((UNIGRAM, words), (PAIR, pairs)):
+                    segment = keys % np.uint64(n_segments)
+                    keys = keys[np.argsort(segment, kind="stable")]
+                    sizes = np.bincount(segment.astype(np.int64), minlength=n_segments)
+                    ends = np.cumsum(sizes)
+                    asked = np.flatnonzero(sizes).tolist()
+                    short = (keys >> LEFT_OUT).view(np.uint8).reshape(-1, 8)[:, :5]
+                    parts = [short[ends[s] - sizes[s] : ends[s]].tobytes() for s in asked]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(asked, pa.int32()),
+                            pa.array([kind] * len(asked), pa.int32()),
+                            pa.array([name.as_py()] * len(asked), pa.string()),
+                            pa.array(parts, pa.binary()),
+                        ],
+                        names=["segment", "kind", "slice", "data"],
+                    )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The bits of a segment come before what is asked of it; one segment is held at a time.
+        now, lookup = None, None
+        for batch in batches:
+            names, kinds, segments, found = [], [], [], []
+            for segment, kind, name, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if segment != now:
+                    now, lookup = segment, Filter(bytes(segment_bits // 8), 1, segment_bits, (1, 1))
+                if name is None:
+                    lookup.bits = lookup.bits | np.frombuffer(data, np.uint8)
+                    continue
+                names.append(name)
+                kinds.append(kind)
+                segments.append(segment)
+                keys = np.zeros((len(data) // 5, 8), np.uint8)
+                keys[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+                keys = keys.view(np.uint64)[:, 0]
+                found.append(lookup.short_levels(keys, kind, np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(kinds, pa.int32()), pa.array(segments, pa.int32()), pa.array(found, pa.binary())],
+                names=["slice", "kind", "segment", "levels"],
+            )
+
+    asked = sliced.select("slice", "tokens", "places").mapInArrow(ask, "segment int, kind int, slice string, data binary")
+    bits = model.select("segment", "kind", F.lit(None).cast("string").alias("slice"), F.col("bits").alias("data"))
+    return (
+        bits.unionByName(asked)
+        .repartition(max(1, n_segments // 4), "segment")
+        .sortWithinPartitions("segment", F.col("slice").asc_nulls_first())
+        .mapInArrow(answer, "slice string, kind int, segment int, levels binary")
+    )
 
 
 def _rows_of_blocks(blocks: DataFrame, least: int = 1) -> DataFrame:
@@ -292,15 +397,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Tokens are words (runs of other than white space, A-Z lower-cased) and one end for each text; a null
     text is an empty one and has its end only. Learns from all rows that are not held out (crc32 of the
     id modulo 10 is not 0; a row without an id is held out). ``score`` sums log10 of
-    ``w c(v,x)/c(v) + (1-w) p(x)`` over tokens x after v, all three counts read from the filter;
-    what it does not hold has count 0 and the pseudo-count of the base. Without training rows every
+    ``w c(v,x)/c(v) + (1-w) p(x)`` over tokens x after v, all three counts read from the filter, which holds
+    every n-gram of the training rows; any other has count 0 and the pseudo-count of the base. Without training rows every
     token is unknown. Repeated ids and rows each keep their row.
     """
     spark = docs.sparkSession
     rows = docs.select(
         docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).alias("text")
     ).select("id", held_out(F.col("id")).alias("held_out"), "text")
-    n_segments = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n_segments = max(4 * max(8, n_parts), -(-n_bytes // SEGMENT_BYTES))
     blocks = stored(count_ngrams(rows.filter("NOT held_out").select("text"), n_segments), "ngrams")
     totals = (
         blocks.filter(F.col("kind") == UNIGRAM)
@@ -309,30 +416,31 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     n_train, n_distinct = totals["n"], totals["v"]
     grams, inserts = _histogram(blocks)
-    bits, segment_bits, least = _build_filter(blocks, n_segments, inserts)
+    filter_rows, segment_bits = _filter_rows(blocks, n_segments, inserts)
     head_power = int(np.argmax(grams[UNIGRAM] <= MAX_HEAD))
     head = _rows_of_blocks(blocks, 1 << head_power).toPandas().sort_values("token")
     head_tokens = head["token"].to_numpy(np.int64)
     head_counts = head["n"].to_numpy(np.int64)
-    model = spark.sparkContext.broadcast((bits, head_tokens, head_counts))
+    model = spark.sparkContext.broadcast((head_tokens, head_counts))
     whole = math.log10(n_train + ALPHA * (n_distinct + 1))
 
-    def scored(parts: list[bytes]) -> pa.StructArray:
-        bits, head_tokens, head_counts = model.value
-        lookup = Filter(bits, n_segments, segment_bits, least)
-        tokens, ends = tokens_of(parts)
-        before = np.r_[END, tokens[:-1]]
-        distinct, where = np.unique(tokens, return_inverse=True)
+    def scored(row: dict, levels: dict[int, np.ndarray]) -> pa.StructArray:
+        head_tokens, head_counts = model.value
+        distinct, where, pairs, pair_where = _distinct_grams(row["tokens"], row["places"])
+        tokens, ends = distinct[where], np.frombuffer(row["ends"], np.int64)
+        read, pair_read = np.zeros(len(distinct)), np.zeros(len(pairs))
+        # The answers are in the order of the segments, as the questions were.
+        read[np.argsort(distinct % np.uint64(n_segments), kind="stable")] = _middle(levels[UNIGRAM])
+        pair_read[np.argsort(pairs % np.uint64(n_segments), kind="stable")] = _middle(levels[PAIR])
         signed = distinct.view(np.int64)
         at = np.minimum(np.searchsorted(head_tokens, signed), max(0, len(head_tokens) - 1))
         in_head = head_tokens[at] == signed if len(head_tokens) else np.zeros(len(signed), bool)
         exact = np.where(in_head, head_counts[at] if len(head_tokens) else 0, 0)
-        read = lookup.counts(distinct, UNIGRAM)
         token_p = (read + ALPHA) / (n_train + ALPHA * (n_distinct + 1))
         # The context's count is that of the token before; at the start of the slice that of the end.
-        end_count = lookup.counts(np.array([END], np.uint64), UNIGRAM)[0]
+        end_count = read[np.searchsorted(distinct, END)]
         context = np.r_[end_count, read[where][:-1]]
-        pair = lookup.counts(_mixed(before * _M2 + tokens), PAIR)
+        pair = pair_read[pair_where]
         share = np.minimum(1.0, pair / np.maximum(context, np.maximum(pair, 1.0)))
         log_p = np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * token_p[where])
         starts = np.r_[0, ends[:-1]]
@@ -352,17 +460,40 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names=["n_tokens", "known", "base", "score", "rest"],
         )
 
-    @F.arrow_udf(_SCORED)
-    def score(texts: pa.Array) -> pa.Array:
-        parts = [scored(part) for part in slices(texts)]
-        if parts:
-            return pa.concat_arrays(parts)
-        return pa.array([], pa.struct([("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.int64()))]))
+    names = ["id", "version", "held_out"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A slice comes before its answers, and these by kind and segment.
+        row, lists, held = None, None, {}
 
+        def result() -> pa.RecordBatch:
+            levels = {k: np.frombuffer(b"".join(held[k]), np.uint8).astype(np.int64) for k in (UNIGRAM, PAIR)}
+            return pa.RecordBatch.from_arrays([*lists, scored(row, levels)], names=[*names, "s"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kind = batch.column("kind")[i].as_py()
+                if kind >= 0:
+                    held[kind].append(batch.column("levels")[i].as_py())
+                    continue
+                if row is not None:
+                    yield result()
+                row = {n: batch.column(n)[i].as_py() for n in ("ends", "tokens", "places")}
+                lists = [pa.concat_arrays([batch.column(n)[i].values]) for n in names]
+                held = {UNIGRAM: [], PAIR: []}
+        if row is not None:
+            yield result()
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    sliced = _sliced(rows.select("id", F.hash("text").alias("version"), "held_out", "text"))
+    answers = _levels_of(sliced, stored(filter_rows, "filter"), n_segments, segment_bits)
+    own = sliced.withColumns({"kind": F.lit(-1), "segment": F.lit(-1)})
     first = stored(
-        rows.select("id", F.hash("text").alias("version"), "held_out", score("text").alias("s")).select(
-            "id", "version", "held_out", "s.*"
-        ),
+        own.unionByName(answers, allowMissingColumns=True)
+        .repartition(n_parts, "slice")
+        .sortWithinPartitions("slice", "kind", "segment")
+        .mapInArrow(score, f"id {id_type}, version int, held_out boolean, s {_SCORED.simpleString()}")
+        .select("id", "version", "held_out", "s.*"),
         "scored",
     )
     asked = (
