@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import bpe, decontaminate, fim, html, lines, lm, quality, simhash, substrings, tokencount, urls
+from seqloom.llm import bpe, decontaminate, fim, html, lines, lm, quality, simhash, substrings, tokencount, urls, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -158,6 +158,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", digest.alias("d")).select("doc_id", "d.*")
 
 
+@query(
+    "op12_warc_round_trip",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (
+      SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex,
+             row_number() OVER same AS nth, first_value(page_id) OVER same AS first_id
+      FROM p
+      WINDOW same AS (PARTITION BY html ORDER BY page_id NULLS LAST))
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+           -- five hex digits are four digits of five bits
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT)
+                       >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+           CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN nth > 1 THEN first_id END AS refers_to
+    FROM d
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"), F.col("page_id"), F.col("html"))
+    records = warc.resolve(warc.read_archives(spark, path, with_data=False))
+    return records.select(
+        warc.urn_id(F.col("record_id")).cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.urn_id(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
 @query(
     "op13_fill_in_middle",
     r"""
