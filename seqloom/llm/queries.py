@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import bpe, decontaminate, fim, html, lines, lm, quality, simhash, substrings, tokencount, urls, warc
+from seqloom.llm import (
+    bpe,
+    decontaminate,
+    fim,
+    html,
+    lines,
+    lm,
+    negatives,
+    quality,
+    simhash,
+    substrings,
+    tokencount,
+    urls,
+    warc,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -158,6 +172,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", digest.alias("d")).select("doc_id", "d.*")
 
 
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id,
+             CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+    p AS (
+      SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score,
+             row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS nth
+      FROM s WHERE same QUALIFY nth <= 5),
+    n AS (
+      SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.r, nth ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (r)
+      WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+      QUALIFY rank <= 3)
+    SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return negatives.mine(
+        table(spark, sf_dir, "embeddings"),
+        vec_id,
+        F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label),
+        F.col("embedding"),
+        F.col("id") % 50 == 0,
+    )
+
+
 @query(
     "op12_warc_round_trip",
     """
