@@ -49,7 +49,7 @@ def difference(df, con, sql) -> str | None:
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} vs {sorted(columns)}"
     rows = df.collect()
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     for name, spark_type in df.dtypes:
         if kinds.get(spark_type) != types[name] and not (rows and types[name] == '"NULL"'):
             return f"type of {name}: {spark_type} vs {types[name]}"
