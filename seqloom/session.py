@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ RECOMMENDED_CONF = {
 
 _local_scratch: str | None = None
 _stored_paths: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def build_session(app_name: str = "seqloom", **conf: str) -> SparkSession:
@@ -64,31 +66,56 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqloom/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stored(
+    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compression: str | None = None
+) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, but later readers scan only the columns they use and only
-    the partitions they ask for. The files stay until ``clear_stored``.
+    the partitions they ask for. The files stay until ``release`` or ``clear_stored``.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    (writer.option("compression", compression) if compression else writer).parquet(path)
+    register(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def register(path: str) -> str:
+    """Have ``clear_stored`` delete ``path`` too."""
     _stored_paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in any store that Spark reaches; False if there was none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if path in _stored_paths:
+        _stored_paths.remove(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``stored`` has returned, once nothing built on them is read again."""
+    for frame in frames:
+        if path := _path_of.pop(frame, None):
+            delete_path(frame.sparkSession, path)
+
+
+def stored_count() -> int:
+    """Number of registered folders, a mark for ``clear_stored``."""
+    return len(_stored_paths)
 
 
-def clear_stored(spark: SparkSession) -> int:
-    """Delete what ``stored`` has written in this session; returns the number of tables.
+def clear_stored(spark: SparkSession, keep: int = 0) -> int:
+    """Delete what has been registered in this session but for the first ``keep`` folders; returns how many.
 
     Call it once no DataFrame built on them is needed any more.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    removed = 0
-    while _stored_paths:
-        path = jvm.org.apache.hadoop.fs.Path(_stored_paths.pop())
-        removed += bool(path.getFileSystem(conf).delete(path, True))
-    return removed
+    return sum(delete_path(spark, path) for path in _stored_paths[keep:][::-1])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
