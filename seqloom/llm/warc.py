@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.operators.skew import join_spread, work_partitions
-from seqloom.session import _stored_paths, new_shared_path, stored
+from seqloom.session import new_shared_path, register, release, stored
 
 CHUNK_BYTES = 1 << 20
 #: Bytes of payload in one Arrow batch, about.
@@ -124,7 +124,7 @@ def chunk_table(rows: DataFrame, record_id: Column, payload: Column, chunk_bytes
 
     ddl = "row long, chunk long, data binary, n_bytes long, sha1 string, sha256 string, last boolean, id string, url string"
     table = source.mapInArrow(cut, ddl).withColumn("id", F.col("id").cast(id_type))
-    return stored(table, "warc-chunks")
+    return stored(table, "warc-chunks", compression="zstd")
 
 
 def decide(chunks: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -184,8 +184,7 @@ def write_archives(
     """
     spark = rows.sparkSession
     if path is None:
-        path = new_shared_path(spark, "warc")
-        _stored_paths.append(path)
+        path = register(new_shared_path(spark, "warc"))
     chunks = chunk_table(rows, record_id, payload, chunk_bytes)
     # An explicit number of partitions on both sides is kept by the join and is neither merged nor split
     # while it runs, so a record's chunks stay together.
@@ -226,6 +225,7 @@ def write_archives(
     )
     out = joined.sortWithinPartitions("row", "chunk").select(F.concat(opening, body, closing).cast("string").alias("value"))
     out.write.option("lineSep", EOL).option("compression", "gzip").text(path)
+    release(chunks)
     return path
 
 
