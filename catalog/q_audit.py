@@ -192,14 +192,12 @@ def agg_phq_stats(spark, sf_dir):
     "agg_severity_hist",
     f"""{S}, bands(band_order, band) AS (VALUES (0, '0-4_minimal'), (1, '5-9_mild'), (2, '10-14_moderate'),
   (3, '15-19_mod_severe'), (4, '20-27_severe')),
-low AS (SELECT {BAND_SQL} AS band FROM subjects WHERE phq < 15)
-SELECT band_order::BIGINT AS band_order, b.band, count(low.band) AS "count"
-FROM bands b LEFT JOIN low ON low.band = b.band GROUP BY band_order, b.band""",
+found AS (SELECT {BAND_SQL} AS band FROM subjects)
+SELECT band_order::BIGINT AS band_order, b.band, count(found.band) AS "count"
+FROM bands b LEFT JOIN found ON found.band = b.band GROUP BY band_order, b.band""",
 )
 def agg_severity_hist(spark, sf_dir):
-    # the upper bands are emptied so that their zero rows show
-    low = subjects(spark, sf_dir).where("phq < 15")
-    return audit.severity_histogram(low).select(long("band_order"), "band", "count")
+    return audit.severity_histogram(subjects(spark, sf_dir)).select(long("band_order"), "band", "count")
 
 
 @query(

@@ -49,36 +49,35 @@ def ml_window_features(spark, sf_dir):
 # --- corpus E -------------------------------------------------------------------------------------
 
 E_CONFIG = corpora.WindowConfig(size=9, stride=4)
-# sequences, statistics, windows and normalised cells of one modality, short sequences dropped
+# sequences, statistics, windows and normalised cells of each modality, short sequences dropped
 E_SQL = f"""{trimmed_sql()}, {SUBJECTS_SQL},
-long_enough AS (SELECT subject_id, len FROM lens WHERE modality = 'visual' AND len >= 15),
+long_enough AS (
+  SELECT l.subject_id, l.modality, l.len FROM lens l JOIN subjects s ON s.subject_id = l.subject_id WHERE len >= 15),
 seq AS (
-  SELECT t.subject_id, 'visual' AS modality, t.sec, t.f0, t.f1, t.valid, s.fold, s.label_binary, s.phq
-  FROM trimmed t JOIN long_enough l ON l.subject_id = t.subject_id
-  JOIN subjects s ON s.subject_id = t.subject_id WHERE t.modality = 'visual'),
+  SELECT t.subject_id, t.modality, t.sec, t.f0, t.f1, t.valid, s.fold, s.label_binary, s.phq
+  FROM trimmed t JOIN long_enough l ON l.subject_id = t.subject_id AND l.modality = t.modality
+  JOIN subjects s ON s.subject_id = t.subject_id),
 stats AS (
-  SELECT avg(f0) AS m0, sqrt(greatest(var_pop(f0), 1e-8)) AS s0,
+  SELECT modality, avg(f0) AS m0, sqrt(greatest(var_pop(f0), 1e-8)) AS s0,
          avg(f1) AS m1, sqrt(greatest(var_pop(f1), 1e-8)) AS s1
-  FROM seq WHERE fold = 'train' AND valid),
-seq_lens AS (SELECT subject_id, 'visual' AS modality, len FROM long_enough
-             WHERE subject_id IN (SELECT subject_id FROM subjects)),
-{starts_sql(9, 4, 'seq_lens')},
+  FROM seq WHERE fold = 'train' AND valid GROUP BY modality),
+{starts_sql(9, 4, 'long_enough')},
 ratios AS (
-  SELECT w.subject_id, w.start, w.win_len,
+  SELECT w.subject_id, w.modality, w.start, w.win_len,
          count(CASE WHEN q.valid THEN 1 END)::DOUBLE / w.win_len::DOUBLE AS valid_ratio
-  FROM starts w LEFT JOIN seq q ON q.subject_id = w.subject_id
+  FROM starts w LEFT JOIN seq q ON q.subject_id = w.subject_id AND q.modality = w.modality
    AND q.sec >= w.start AND q.sec < w.start + w.win_len
-  GROUP BY w.subject_id, w.start, w.win_len),
+  GROUP BY w.subject_id, w.modality, w.start, w.win_len),
 kept AS (
-  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY start) - 1 AS window_idx
+  SELECT *, row_number() OVER (PARTITION BY subject_id, modality ORDER BY start) - 1 AS window_idx
   FROM ratios WHERE valid_ratio >= 0.5),
 cells AS (SELECT *, unnest(range(0, 9)) AS row FROM kept),
 items AS (
-  SELECT c.subject_id, c.window_idx, c.row, c.valid_ratio, s.label_binary, s.phq, s.fold,
+  SELECT c.subject_id, c.modality, c.window_idx, c.row, c.valid_ratio, s.label_binary, s.phq, s.fold,
          CASE WHEN c.row < c.win_len THEN (coalesce(q.f0, 0) - m0) / s0 ELSE 0 END AS z0,
          CASE WHEN c.row < c.win_len THEN (coalesce(q.f1, 0) - m1) / s1 ELSE 0 END AS z1
-  FROM cells c CROSS JOIN stats JOIN subjects s ON s.subject_id = c.subject_id
-  LEFT JOIN seq q ON q.subject_id = c.subject_id AND q.sec = c.start + c.row)"""
+  FROM cells c JOIN stats USING (modality) JOIN subjects s ON s.subject_id = c.subject_id
+  LEFT JOIN seq q ON q.subject_id = c.subject_id AND q.modality = c.modality AND q.sec = c.start + c.row)"""
 
 
 def e_frames(spark, sf_dir):
@@ -102,20 +101,25 @@ def e_items(spark, sf_dir, modality, config=E_CONFIG):
 @query(
     "corpus_e_windows",
     f"""{E_SQL}
-SELECT subject_id, window_idx, row, fold, label_binary::BIGINT AS label_binary, phq::DOUBLE AS label_phq,
-       round(valid_ratio, 8) AS quality_score, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM items""",
+SELECT subject_id, modality, window_idx, row, fold, label_binary::BIGINT AS label_binary,
+       phq::DOUBLE AS label_phq, round(valid_ratio, 8) AS quality_score, round(z0, 6) AS z0, round(z1, 6) AS z1
+FROM items""",
 )
 def corpus_e_windows(spark, sf_dir):
-    _, items = e_items(spark, sf_dir, "visual")
-    rows = items.select(
-        "subject_id",
-        "window_idx",
-        "fold",
-        long("label_binary"),
-        "label_phq",
-        r8("quality_score"),
-        F.posexplode("visual").alias("row", "z"),
-    )
+    def rows_of(modality):
+        _, items = e_items(spark, sf_dir, modality)
+        return items.select(
+            "subject_id",
+            F.lit(modality).alias("modality"),
+            "window_idx",
+            "fold",
+            long("label_binary"),
+            "label_phq",
+            r8("quality_score"),
+            F.posexplode(modality).alias("row", "z"),
+        )
+
+    rows = rows_of("visual").unionByName(rows_of("acoustic"))
     return rows.select(
         *[c for c in rows.columns if c not in ("row", "z")],
         long("row"),
@@ -159,45 +163,61 @@ scaled AS (
   SELECT c.subject_id, c.start,
          {', '.join(f'(coalesce({c}, 0) - m_{c}) / s_{c} AS {c}' for c in ('v0', 'v1', 'a0', 'a1'))}
   FROM cells c CROSS JOIN stats LEFT JOIN seq q ON q.subject_id = c.subject_id AND q.sec = c.start + c.row),
+-- rows of zeros in a modality are left out of its pools
 pooled AS (
-  SELECT subject_id, start, {', '.join(f'avg({c}) AS {c}' for c in ('v0', 'v1', 'a0', 'a1'))}
+  SELECT subject_id, start, {', '.join(
+      f"coalesce({fn}({m}{i}) FILTER ({m}0 <> 0 OR {m}1 <> 0), 0) AS {m}_{name}{i}"
+      for m in 'va'
+      for name, fn in (('mean', 'avg'), ('std', 'stddev_pop'), ('min', 'min'), ('max', 'max'))
+      for i in range(2))}
   FROM scaled GROUP BY subject_id, start)"""
 BOTH_CONFIG = corpora.WindowConfig(size=9, stride=4, min_valid_ratio=0.3)
 
 
+POOLED = [f"{pool}{i}" for pool in model.POOLS for i in range(FRAME_WIDTH)]
+FUSED = {
+    "gated_sum": "({v} + {a}) / 2",
+    "distance": "abs({v} - {a})",
+    "product": "{v} * {a}",
+    "gated_visual": "{v} / 2",
+    "gated_acoustic": "{a} / 2",
+}
+
+
 @query(
     "ml_fuse_modalities",
     f"""{BOTH_SQL}
-SELECT subject_id, start, round((v0 + a0) / 2, 6) AS gated_sum, round(abs(v0 - a0), 6) AS distance,
-       round(v0 * a0, 6) AS product, round(v0 / 2, 6) AS gated_visual, round(a0 / 2, 6) AS gated_acoustic
+SELECT subject_id, start, {', '.join(
+    f"round({formula.format(v=f'v_{p}', a=f'a_{p}')}, 6) AS {name}_{p}"
+    for name, formula in FUSED.items()
+    for p in POOLED)}
 FROM pooled""",
 )
 def ml_fuse_modalities(spark, sf_dir):
     prepared, items = e_items(spark, sf_dir, "both", BOTH_CONFIG)
     fused = corpora.pooled_windows(items, prepared.widths)
-    block = len(model.POOLS) * FRAME_WIDTH
-    names = ("gated_sum", "distance", "product", "gated_visual", "gated_acoustic")
+    names = [f"{name}_{p}" for name in FUSED for p in POOLED]
     return fused.select(
         "subject_id",
         "start",
-        *[r8(F.col("features")[i * block], name, digits=6) for i, name in enumerate(names)],
+        *[r8(F.col("features")[i], name, digits=6) for i, name in enumerate(names)],
     )
 
 
 # --- corpus D -------------------------------------------------------------------------------------
 
-# Four dimensions each; odd subjects lack the last acoustic frame, subjects divisible by five stop
-# early and are dropped as too short after the statistics.
-D_WIDTHS = {"visual": 4, "acoustic": 4}
+# Half of the dimensions for each modality; what is shorter than five frames is dropped after the
+# statistics.
+HALF = VECTOR_WIDTH // 2
+D_WIDTHS = {m: HALF for m in corpora.MODALITIES}
 D_CONFIG = corpora.WindowConfig(size=4, stride=3, min_len=5)
 
 
 def d_frames(spark, sf_dir):
-    rows = vector_frames(spark, sf_dir).where((F.col("subject_id") % 5 != 0) | (F.col("sec") < 4))
-    acoustic = rows.where((F.col("subject_id") % 2 == 0) | (F.col("sec") < 9))
+    rows = vector_frames(spark, sf_dir)
     return {
-        "visual": rows.withColumn("features", F.slice("features", 1, 4)),
-        "acoustic": acoustic.withColumn("features", F.slice("features", 5, 4)),
+        "visual": rows.withColumn("features", F.slice("features", 1, HALF)),
+        "acoustic": rows.withColumn("features", F.slice("features", HALF + 1, HALF)),
     }
 
 
@@ -209,20 +229,17 @@ def vector_labels(spark, sf_dir):
 
 
 D_SQL = f"""WITH {VECTOR_FRAMES_SQL},
-aligned AS (
-  SELECT subject_id, sec, fold, label, features[1:4] AS v, features[5:8] AS a,
-         CASE WHEN subject_id % 5 = 0 THEN 4 WHEN subject_id % 2 = 1 THEN 9 ELSE 10 END AS len
-  FROM vector_frames
-  WHERE sec < CASE WHEN subject_id % 5 = 0 THEN 4 WHEN subject_id % 2 = 1 THEN 9 ELSE 10 END),
 cells AS (
-  SELECT subject_id, sec, fold, label, len, unnest(range(0, 4)) AS dim, unnest(v)::DOUBLE AS v,
-         unnest(a)::DOUBLE AS a FROM aligned),
+  SELECT subject_id, sec, fold, label, unnest(range(0, {HALF})) AS dim,
+         unnest(features[1:{HALF}])::DOUBLE AS v, unnest(features[{HALF + 1}:{VECTOR_WIDTH}])::DOUBLE AS a
+  FROM vector_frames),
 stats AS (
   SELECT dim, avg(v) AS mv, sqrt(greatest(var_pop(v), 1e-8)) AS sv, avg(a) AS ma,
          sqrt(greatest(var_pop(a), 1e-8)) AS sa FROM cells WHERE fold = 'train' GROUP BY dim),
-starts AS (
-  SELECT DISTINCT subject_id, len, unnest(CASE WHEN len = 10 THEN [0, 3, 6] ELSE [0, 3, 5] END) AS start,
-         unnest([0, 1, 2]) AS window_idx FROM aligned WHERE len >= 5)"""
+d_lens AS (
+  SELECT subject_id, 'both' AS modality, max(sec) + 1 AS len FROM vector_frames GROUP BY subject_id HAVING len >= 5),
+{starts_sql(4, 3, 'd_lens')},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY start) - 1 AS window_idx FROM starts)"""
 
 
 @query(
@@ -231,7 +248,7 @@ starts AS (
 SELECT w.subject_id, w.window_idx::BIGINT AS window_idx, c.sec - w.start AS row, c.dim::BIGINT AS dim,
        c.label::BIGINT AS label_binary, c.fold, round((v - mv) / sv, 5) AS visual,
        round((a - ma) / sa, 5) AS acoustic
-FROM starts w JOIN cells c ON c.subject_id = w.subject_id AND c.sec >= w.start AND c.sec < w.start + 4
+FROM numbered w JOIN cells c ON c.subject_id = w.subject_id AND c.sec >= w.start AND c.sec < w.start + w.win_len
 JOIN stats s ON s.dim = c.dim""",
 )
 def corpus_d_windows(spark, sf_dir):

@@ -337,21 +337,31 @@ def sort_leaderboard(spark, sf_dir):
     )
 
 
-FINAL_SQL = f"""{BOARD_SQL}, final AS (SELECT * FROM board WHERE candidate = '1-URGENT')"""
+# Of all candidates of a track, the one that is best on the dev fold is run for good.
+FINAL_SQL = f"""{BOARD_SQL}, final AS (
+  SELECT * FROM board
+  QUALIFY row_number() OVER (PARTITION BY track ORDER BY round(dev_macro_f1_mean, 12) DESC, candidate) = 1)"""
 
 
 def final_rows(spark, sf_dir):
-    return board(spark, sf_dir).where(F.col("candidate") == PRIORITIES[0])
+    rows = checkpointed(board(spark, sf_dir)).withColumns(
+        {
+            "position": selection.position_of(F.col("candidate"), PRIORITIES),
+            "dev_score": F.round("dev_macro_f1_mean", 12),
+        }
+    )
+    best = selection.select_candidate(rows, ["track"], score="dev_score")
+    return rows.join(best.select("track", "candidate"), ["track", "candidate"], "left_semi")
 
 
 @query(
     "sort_final",
-    f"""{FINAL_SQL} SELECT dataset, modality, track, {F1_ROUND_SQL} FROM final
+    f"""{FINAL_SQL} SELECT dataset, modality, track, candidate, {F1_ROUND_SQL} FROM final
 ORDER BY dataset, test_macro_f1_mean DESC, track""",
 )
 def sort_final(spark, sf_dir):
     return selection.final_order(final_rows(spark, sf_dir)).select(
-        "dataset", "modality", "track", *[r8(c) for c in F1_COLUMNS]
+        "dataset", "modality", "track", "candidate", *[r8(c) for c in F1_COLUMNS]
     )
 
 
@@ -468,30 +478,31 @@ def prj_config_merge(spark, sf_dir):
 @query(
     "win_best_epoch",
     f"""{runs_sql(", epoch")}, history AS (
-  SELECT track, candidate, epoch, avg(macro_f1) AS score FROM runs WHERE method = 'mean' AND seed = 0
-  GROUP BY track, candidate, epoch),
+  SELECT track, candidate, seed, epoch, macro_f1 AS score FROM runs WHERE method = 'mean'),
 gains AS (
-  SELECT *, coalesce(score > max(score) OVER (PARTITION BY track, candidate ORDER BY epoch
+  SELECT *, coalesce(score > max(score) OVER (PARTITION BY track, candidate, seed ORDER BY epoch
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS gain,
-         row_number() OVER (PARTITION BY track, candidate ORDER BY epoch) AS n FROM history),
+         row_number() OVER (PARTITION BY track, candidate, seed ORDER BY epoch) AS n FROM history),
 misses AS (
-  SELECT *, n - max(CASE WHEN gain THEN n END) OVER (PARTITION BY track, candidate ORDER BY epoch) AS miss FROM gains),
+  SELECT *, n - max(CASE WHEN gain THEN n END) OVER (PARTITION BY track, candidate, seed ORDER BY epoch) AS miss
+  FROM gains),
 stops AS (
-  SELECT track, candidate, coalesce(min(CASE WHEN miss >= 2 THEN epoch END), max(epoch)) AS stopped_epoch
-  FROM misses GROUP BY track, candidate)
-SELECT m.track, m.candidate, max(CASE WHEN gain THEN epoch END) AS best_epoch,
+  SELECT track, candidate, seed, coalesce(min(CASE WHEN miss >= 2 THEN epoch END), max(epoch)) AS stopped_epoch
+  FROM misses GROUP BY track, candidate, seed)
+SELECT m.track, m.candidate, m.seed, max(CASE WHEN gain THEN epoch END) AS best_epoch,
        round(max(score), 8) AS best_score, stopped_epoch
-FROM misses m JOIN stops s ON s.track = m.track AND s.candidate = m.candidate AND epoch <= stopped_epoch
-GROUP BY m.track, m.candidate, stopped_epoch""",
+FROM misses m JOIN stops s ON s.track = m.track AND s.candidate = m.candidate AND s.seed = m.seed
+  AND epoch <= stopped_epoch
+GROUP BY m.track, m.candidate, m.seed, stopped_epoch""",
 )
 def win_best_epoch(spark, sf_dir):
     history = (
         runs(spark, sf_dir, ["epoch"])
-        .where((F.col("method") == "mean") & (F.col("seed") == 0))
-        .select("track", "candidate", "epoch", F.col("macro_f1").alias("dev_macro_f1"))
+        .where(F.col("method") == "mean")
+        .select("track", "candidate", "seed", "epoch", F.col("macro_f1").alias("dev_macro_f1"))
     )
-    best = selection.best_epoch(history, ["track", "candidate"], patience=2)
-    return best.select("track", "candidate", "best_epoch", r8("best_score"), "stopped_epoch")
+    best = selection.best_epoch(history, ["track", "candidate", "seed"], patience=2)
+    return best.select("track", "candidate", "seed", "best_epoch", r8("best_score"), "stopped_epoch")
 
 
 @query(

@@ -19,7 +19,7 @@ from catalog.tables import (
 )
 from seqloom.functions import vectors
 from seqloom.operators import normalise, sequence, windows
-from seqloom.session import checkpointed
+from seqloom.session import stored
 
 KEYS = ("subject_id", "modality")
 
@@ -42,7 +42,7 @@ def resampled(spark, sf_dir, bin_micros=DAY_MICROS):
 
 def trimmed(spark, sf_dir, bin_micros=DAY_MICROS):
     """The bins are stored, so that finding the bounds does not aggregate the raw frames again."""
-    return sequence.trim_invalid(checkpointed(resampled(spark, sf_dir, bin_micros)), KEYS)
+    return sequence.trim_invalid(stored(resampled(spark, sf_dir, bin_micros), "bins"), KEYS)
 
 
 def _features():
@@ -162,7 +162,7 @@ def join_modalities(spark, sf_dir):
 
 
 def aligned(spark, sf_dir, bin_micros=DAY_MICROS):
-    seq = checkpointed(resampled(spark, sf_dir, bin_micros))
+    seq = stored(resampled(spark, sf_dir, bin_micros), "bins")
     visual, acoustic = (
         seq.where(F.col("modality") == m).drop("modality") for m in ("visual", "acoustic")
     )
@@ -233,7 +233,7 @@ def win_short_seq(spark, sf_dir):
 
 
 def kept_windows(spark, sf_dir, size=SIZE, stride=STRIDE, ratio=RATIO, bin_micros=SIX_HOURS_MICROS):
-    seq = checkpointed(trimmed(spark, sf_dir, bin_micros))
+    seq = stored(trimmed(spark, sf_dir, bin_micros), "trimmed")
     lens = sequence.lengths(seq, KEYS)
     return seq, lens, windows.valid_ratio(seq, lens, size, stride, ratio, KEYS)
 
@@ -272,7 +272,7 @@ def win_index(spark, sf_dir):
 @query(
     "join_window_frames",
     f"""{trimmed_sql(SIX_HOURS_MICROS)}, {ratios_sql(SIZE, STRIDE, RATIO)}
-SELECT k.subject_id, k.modality, k.start, t.sec - k.start AS "offset", round(t.f0, 8) AS f0
+SELECT k.subject_id, k.modality, k.start, t.sec - k.start AS "offset", round(t.f0, 8) AS f0, round(t.f1, 8) AS f1
 FROM kept k JOIN trimmed t ON t.subject_id = k.subject_id AND t.modality = k.modality
  AND t.sec >= k.start AND t.sec < k.start + k.win_len""",
 )
@@ -280,7 +280,7 @@ def join_window_frames(spark, sf_dir):
     seq, lens, kept = kept_windows(spark, sf_dir)
     placed = windows.assign_windows(seq, lens, SIZE, STRIDE, KEYS)
     joined = placed.join(kept.select(*KEYS, "start"), [*KEYS, "start"])
-    return joined.select(*KEYS, "start", long("offset"), r8(F.col("features")[0], "f0"))
+    return joined.select(*KEYS, "start", long("offset"), *_features())
 
 
 def matrix_sql(size, stride, ratio, padded):
@@ -358,7 +358,7 @@ def frame_stats(spark, sf_dir, seq=None):
 
 
 def normalised(spark, sf_dir):
-    seq = checkpointed(trimmed(spark, sf_dir))
+    seq = stored(trimmed(spark, sf_dir), "trimmed")
     return normalise.apply_stats(seq, frame_stats(spark, sf_dir, seq), ["modality"])
 
 
@@ -407,7 +407,7 @@ FROM trimmed t JOIN stats a ON a.modality = t.modality AND a.dim = 0
 JOIN stats b ON b.modality = t.modality AND b.dim = 1""",
 )
 def join_stats(spark, sf_dir):
-    seq = checkpointed(trimmed(spark, sf_dir))
+    seq = stored(trimmed(spark, sf_dir), "trimmed")
     joined = normalise.join_stats(seq, frame_stats(spark, sf_dir, seq), ["modality"])
     return joined.select(
         *KEYS,

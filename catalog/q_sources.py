@@ -178,13 +178,16 @@ def src_stats(spark, sf_dir):
 
 @query(
     "sink_stats",
-    STATS_SQL + " SELECT modality, round(mean, 6) AS mean0, dim::BIGINT AS dim FROM stats WHERE dim = 0",
+    STATS_SQL
+    + " SELECT modality, dim::BIGINT AS dim, round(mean, 6) AS mean, round(std, 6) AS std FROM stats",
 )
 def sink_stats(spark, sf_dir):
     path = new_shared_path(spark, "stats-arrays")
     writers.write_stats(normalise.stats_long(frame_stats(spark, sf_dir), ["modality"]), path)
     back = normalise.stats_from_long(spark.read.parquet(path), ["modality"])
-    return back.select("modality", r8(F.col("mean")[0], "mean0", digits=6), long(F.lit(0), "dim"))
+    return normalise.stats_long(back, ["modality"]).select(
+        "modality", long("dim"), r8("mean", digits=6), r8("std", digits=6)
+    )
 
 
 # --- archives -------------------------------------------------------------------------------------
@@ -432,8 +435,13 @@ def sink_manifest(spark, sf_dir):
 @query(
     "sink_audit",
     f"""{S}
-SELECT 'fold' AS attribute, fold AS "value", count(*) AS "count" FROM subjects GROUP BY fold
-UNION ALL SELECT 'gender', gender, count(*) FROM subjects GROUP BY gender""",
+SELECT 'fold' AS attribute, fold AS "value", count(*)::DOUBLE AS number FROM subjects GROUP BY fold
+UNION ALL SELECT 'gender', gender, count(*)::DOUBLE FROM subjects GROUP BY gender
+UNION ALL SELECT 'phq', 'min', min(phq)::DOUBLE FROM subjects
+UNION ALL SELECT 'phq', 'max', max(phq)::DOUBLE FROM subjects
+UNION ALL SELECT 'phq', 'mean', round(avg(phq), 6) FROM subjects
+UNION ALL SELECT 'phq', 'median', median(phq)::DOUBLE FROM subjects
+UNION ALL SELECT 'phq', 'std', round(stddev_pop(phq), 6) FROM subjects""",
 )
 def sink_audit(spark, sf_dir):
     path = new_shared_path(spark, "audit")
@@ -445,8 +453,13 @@ def sink_audit(spark, sf_dir):
         },
         path,
     )
-    schema = "attribute string, value string, count long"
-    return spark.read.schema(schema).json(f"{path}/counts")
+    counts = spark.read.schema("attribute string, value string, count long").json(f"{path}/counts")
+    names = ("min", "max", "mean", "median", "std")
+    phq = spark.read.schema(", ".join(f"{n} double" for n in names)).json(f"{path}/phq")
+    figures = F.explode(F.array(*[F.struct(F.lit(n).alias("value"), r8(n, "number", digits=6)) for n in names]))
+    return counts.select("attribute", "value", F.col("count").cast("double").alias("number")).unionByName(
+        phq.select(F.lit("phq").alias("attribute"), figures.alias("f")).select("attribute", "f.value", "f.number")
+    )
 
 
 @query(

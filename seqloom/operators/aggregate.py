@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.skew import broadcast_if_small, ordered_prefix
+from seqloom.operators.skew import ONE_TASK_ROWS, ordered_prefix
 
 METHODS = ("mean", "topk", "attention")
-# Subjects with more windows than this are ranked by a distributed running count instead of a sort
-# inside one task.
-HOT_WINDOWS = 1_000_000
-MAX_HOT_BROADCAST = 100_000
 # Sums of doubles depend on the order in which partitions are added. Rounded here, subjects with
 # equal windows get equal probabilities, so thresholds and ties do not depend on partitioning.
 PROBABILITY_DIGITS = 12
@@ -39,33 +35,6 @@ def top_share_count(n: Column, fraction: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * F.lit(fraction))).cast("long")
 
 
-def _with_rank(windows: DataFrame, keys: Sequence[str], probability: str) -> DataFrame:
-    """``_rank`` by falling probability and ``_size`` per group: one shuffle, one spillable sort."""
-    group = Window.partitionBy(*keys)
-    return windows.withColumns(
-        {
-            "_rank": F.row_number().over(group.orderBy(F.col(probability).desc())),
-            "_size": F.count(F.lit(1)).over(group),
-        }
-    )
-
-
-def _topk_of_ranked(probability: str, fraction: float) -> Column:
-    k = top_share_count(F.col("_size"), fraction)
-    return F.sum(F.when(F.col("_rank") <= k, F.col(probability))) / F.max(k)
-
-
-def _topk_distributed(
-    windows: DataFrame, keys: Sequence[str], probability: str, fraction: float
-) -> DataFrame:
-    """Exact top-share mean for groups too large for one task."""
-    ties = windows.groupBy(*keys, probability).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordered_prefix(ties, keys, -F.col(probability), ["_n"])
-    k = top_share_count(F.col("total__n"), fraction)
-    taken = F.greatest(F.lit(0), F.least(F.col("_n"), k - F.col("before__n")))
-    return ranked.groupBy(*keys).agg((F.sum(F.col(probability) * taken) / F.max(k)).alias("topk"))
-
-
 def subject_scores(
     windows: DataFrame,
     methods: Sequence[str] = METHODS,
@@ -75,45 +44,41 @@ def subject_scores(
     probability: str = "window_probability",
     by: Sequence[str] = (),
     topk_fraction: float = 0.25,
-    hot_windows: int = HOT_WINDOWS,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """All requested subject probabilities, one column per method, in one grouping.
+    """All requested subject probabilities, one column per method; the input is read once.
 
-    ``mean`` and ``attention`` are sums, combined before the shuffle. ``topk`` needs order: subjects
-    are first counted (only the keys are read, combined before the shuffle); those that exceed
-    ``hot_windows`` are ranked separately by range-partitioned running counts. The count makes
-    ``topk`` read its input twice, so materialise an input that is expensive to compute.
+    ``mean`` and ``attention`` are sums, combined before the shuffle. ``topk`` needs an order: windows
+    are first counted by (subject, probability), which is combined before the shuffle too and
+    spreads a large subject over tasks. Those counts are stored, and running counts over them give
+    each probability its share of the top; all other columns come from the same counts.
     """
     methods = _check_methods(methods)
     keys = [*by, subject]
     p = F.col(probability)
-    common = [F.min(label).alias("label"), F.count(F.lit(1)).alias("num_windows")]
-    sums = {"mean": mean_probability(p), "attention": attention_probability(p)}
-    sum_columns = [sums[m].alias(m) for m in methods if m in sums]
     if "topk" not in methods:
-        return _stable(windows.groupBy(*keys).agg(*common, *sum_columns), methods)
-
-    ranked_topk = _topk_of_ranked(probability, topk_fraction).alias("topk")
-    out = [*keys, "label", "num_windows", *methods]
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        grouped = _with_rank(rows, keys, probability).groupBy(*keys)
-        return grouped.agg(*common, *sum_columns, ranked_topk).select(*out)
-
-    windows = windows.select(*keys, label, probability)
-    sizes = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_windows).select(*keys)
-    if hot.isEmpty():
-        return _stable(ranked(windows), methods)
-
-    # at most rows / hot_windows keys are hot: few enough to broadcast, which is checked
-    hot = broadcast_if_small(hot, MAX_HOT_BROADCAST)
-    cold = windows.join(hot, keys, "left_anti")
-    hot_rows = windows.join(hot, keys, "left_semi")
-    hot_scores = hot_rows.groupBy(*keys).agg(*common, *sum_columns)
-    hot_topk = _topk_distributed(hot_rows, keys, probability, topk_fraction)
-    both = ranked(cold).unionByName(hot_scores.join(hot_topk, keys).select(*out))
-    return _stable(both, methods)
+        sums = {"mean": mean_probability(p), "attention": attention_probability(p)}
+        common = [F.min(label).alias("label"), F.count(F.lit(1)).alias("num_windows")]
+        return _stable(windows.groupBy(*keys).agg(*common, *[sums[m].alias(m) for m in methods]), methods)
+
+    counts = windows.groupBy(*keys, probability).agg(
+        F.min(label).alias("_label"), F.count(F.lit(1)).alias("_n")
+    )
+    ranked = ordered_prefix(counts, keys, -p, ["_n"], one_task_rows=one_task_rows)
+    n, known = F.col("_n"), F.when(p.isNotNull(), F.col("_n"))
+    k = top_share_count(F.col("total__n"), topk_fraction)
+    taken = F.greatest(F.lit(0), F.least(n, k - F.col("before__n")))
+    scores = {
+        "mean": F.sum(p * n) / F.sum(known),
+        "attention": F.sum(p * F.exp(p) * n) / F.sum(F.exp(p) * n),
+        "topk": F.sum(p * taken) / F.max(k),
+    }
+    grouped = ranked.groupBy(*keys).agg(
+        F.min("_label").alias("label"),
+        F.sum(n).alias("num_windows"),
+        *[scores[m].alias(m) for m in methods],
+    )
+    return _stable(grouped, methods)
 
 
 def _stable(scores: DataFrame, methods: Sequence[str]) -> DataFrame:

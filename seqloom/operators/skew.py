@@ -99,8 +99,8 @@ def ordered_prefix(
 ) -> DataFrame:
     """Running sums over an order inside each group, with no group too large for a task.
 
-    ``points`` has one row per (group, value): aggregate ties beforehand. The table is stored and
-    counted. Up to ``one_task_rows`` rows in all, an ordinary window per group is enough. Beyond that
+    ``points`` has one row per (group, value): aggregate ties beforehand. The table is stored and its
+    groups are counted. If none has more than ``one_task_rows`` rows, a window per group is enough. Else
     rows are range-partitioned on (group, value), so any group, however large, is cut into even
     blocks; block totals are one row per block, and their running sum gives each block its offset.
     The blocks are checkpointed because rows and totals must see the same cut.
@@ -111,7 +111,9 @@ def ordered_prefix(
     keys = list(by) or ["_all"]
     base = points if by else points.withColumn("_all", F.lit(0))
     stored = checkpointed(base.withColumn("_order", order))
-    small = stored.limit(one_task_rows + 1).count() <= one_task_rows
+    small = stored.limit(one_task_rows + 1).count() <= one_task_rows or (
+        stored.groupBy(*keys).count().where(F.col("count") > one_task_rows).isEmpty()
+    )
     ranked = (_prefix_in_groups if small else _prefix_in_blocks)(stored, keys, sums, lead)
     return ranked.select(
         *points.columns,

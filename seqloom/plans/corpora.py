@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.vectors import standardise
 from seqloom.operators import model, normalise, sequence, windows
 from seqloom.operators.skew import join_spread
-from seqloom.session import checkpointed
+from seqloom.session import checkpointed, stored
 
 KEYS = ("subject_id",)
 MODALITIES = ("visual", "acoustic")
@@ -76,10 +76,11 @@ def prepare_e(
             {"quality": "confidence", "success": "success"} if name == "visual" else {}
         )
         # raw frames are read once: lengths, bounds and bins all come from the stored bins
-        binned[name] = checkpointed(
+        binned[name] = stored(
             sequence.resample(
                 frames[name], widths[name], quality_threshold=config.quality_threshold, **quality
-            )
+            ),
+            f"bins-{name}",
         )
     if modality == "both":
         seq = sequence.align(
@@ -94,7 +95,7 @@ def prepare_e(
         .where(F.col("len") >= config.min_len)
         .join(labels.select("subject_id", "fold"), "subject_id")
     )
-    ready = checkpointed(sequence.cut_to(seq, bounds))
+    ready = stored(sequence.cut_to(seq, bounds), "sequences")
     used = {n: widths[n] for n in names}
     fitted = (
         train_stats(ready.where(F.col("fold") == "train"), used, True, stats)
@@ -132,7 +133,9 @@ def prepare_d(
         .select("subject_id", "sec", "fold", "len", F.col("features").alias(m))
         for m in MODALITIES
     ]
-    aligned = checkpointed(sides[0].join(sides[1].drop("fold", "len"), ["subject_id", "sec"]))
+    aligned = stored(
+        sides[0].join(sides[1].drop("fold", "len"), ["subject_id", "sec"]), "sequences"
+    )
     fitted = (
         train_stats(aligned.where(F.col("fold") == "train"), widths, False, stats)
         if config.normalize

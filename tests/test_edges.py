@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.errors import PySparkException
 
-from seqloom.operators import metrics, normalise, sampling, sequence, skew
+from seqloom.operators import audit, metrics, normalise, sampling, sequence, skew
+from seqloom.plans import corpora
 
 
 @pytest.mark.parametrize("label", [2, None])
@@ -49,3 +50,31 @@ def test_null_elements_are_skipped_at_any_width(spark, width):
     stats = normalise.fit_stats(frames, width).first()
     assert stats["mean"] == [1.0] + [2.0] * (width - 1)
     assert stats["std"] == pytest.approx([1e-4] + [1.0] * (width - 1))
+
+
+def test_empty_severity_bands_are_kept(spark):
+    rows = spark.createDataFrame([(1, 3), (2, 14), (3, 12)], "subject_id long, phq int")
+    got = [(r["band"][:2], r["count"]) for r in audit.severity_histogram(rows).orderBy("band_order").collect()]
+    assert got == [("0-", 1), ("5-", 0), ("10", 2), ("15", 0), ("20", 0)]
+
+
+def test_uneven_and_short_sequences(spark):
+    """Both modalities are cut to the shorter; what is too short counts for the statistics only."""
+    lens = {1: (10, 9), 2: (10, 10), 3: (4, 4), 4: (7, 12), 5: (6, 0)}
+    frames = {
+        name: spark.createDataFrame(
+            [(s, sec, [float(s + sec)]) for s, both in lens.items() for sec in range(both[m])],
+            "subject_id long, sec long, features array<double>",
+        )
+        for m, name in enumerate(("visual", "acoustic"))
+    }
+    labels = spark.createDataFrame([(s, s % 2, "train") for s in lens], "subject_id long, label_binary int, fold string")
+    config = corpora.WindowConfig(size=4, stride=3, min_len=5)
+    prepared = corpora.prepare_d(frames, {"visual": 1, "acoustic": 1}, labels, config)
+    assert {r["subject_id"]: r["len"] for r in prepared.lengths.collect()} == {1: 9, 2: 10, 4: 7}
+    counted = [s + sec for s, (v, a) in lens.items() for sec in range(min(v, a))]
+    mean = prepared.stats.where("modality = 'visual'").first()["mean"][0]
+    assert abs(mean - sum(counted) / len(counted)) < 1e-9
+    items = corpora.window_items(prepared, labels, "dvlog", config, check_validity=False)
+    starts = sorted((r["subject_id"], r["start"]) for r in items.collect())
+    assert starts == [(1, 0), (1, 3), (1, 5), (2, 0), (2, 3), (2, 6), (4, 0), (4, 3)]

@@ -131,10 +131,10 @@ def window_rows(spark, sizes):
     )
 
 
-@pytest.mark.parametrize("hot_windows", [5, 10**6])
-def test_methods_with_and_without_hot_subjects(spark, hot_windows):
+@pytest.mark.parametrize("one_task_rows", [5, 10**6])
+def test_methods_with_and_without_hot_subjects(spark, one_task_rows):
     rows, windows = window_rows(spark, [1, 2, 4, 5, 9, 400])
-    got = aggregate.subject_scores(windows, hot_windows=hot_windows).collect()
+    got = aggregate.subject_scores(windows, one_task_rows=one_task_rows).collect()
     assert len(got) == 6
     for r in got:
         p = sorted((x for s, _, x in rows if s == r["subject_id"]), reverse=True)
