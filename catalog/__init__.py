@@ -3,6 +3,7 @@
 from catalog.registry import ORACLES, QUERIES  # noqa: F401
 from catalog import (  # noqa: F401
     q_audit,
+    q_evaluation,
     q_metrics,
     q_model,
     q_selection,

@@ -15,6 +15,8 @@ SEVERITY_BANDS = (
     ("15-19_mod_severe", 19),
     ("20-27_severe", None),
 )
+# Age groups of slice reports, both bounds inclusive.
+AGE_BUCKETS = (("18-30", 18, 30), ("31-45", 31, 45), ("46-60", 46, 60), ("61+", 61, None))
 # First participant number of the automated sessions, prefix of the item columns.
 AI_SESSION_FROM = 492
 PHQ_PREFIX = "PHQ8_"
@@ -73,6 +75,15 @@ def severity_band(score: Column) -> Column:
     return band
 
 
+def age_bucket(age: Column) -> Column:
+    """Age group of a report; ages below the first group, and unknown ones, are ``unknown``."""
+    bucket = F.lit("unknown")
+    for name, low, high in reversed(AGE_BUCKETS):
+        inside = (age >= low) if high is None else age.between(low, high)
+        bucket = F.when(inside, F.lit(name)).otherwise(bucket)
+    return bucket
+
+
 def session_type(participant: Column, ai_from: int = AI_SESSION_FROM) -> Column:
     return F.when(participant >= ai_from, F.lit("ai")).otherwise(F.lit("woz"))
 

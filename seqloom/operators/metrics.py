@@ -3,13 +3,14 @@ are groups of one Spark job."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.skew import ONE_TASK_ROWS, join_null_safe, ordered_prefix
+from seqloom.session import checkpointed
 
 NAN = float("nan")
 
@@ -131,8 +132,26 @@ def expected_calibration_error(
     )
 
 
+def _binned_counts(counts: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
+    n = F.col("_n")
+    return (
+        counts.withColumn("bin_index", bin_index(F.col("probability"), bins))
+        .groupBy(*by, "bin_index")
+        .agg(
+            F.sum(n).alias("count"),
+            (F.sum(n * F.col("probability")) / F.sum(n)).alias("mean_confidence"),
+            (F.sum(n * F.col("label")) / F.sum(n)).alias("mean_accuracy"),
+        )
+    )
+
+
 def calibration_bins(subjects: DataFrame, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """One row per bin, empty bins kept with count 0 and NULL means."""
+    return _spine(_binned(subjects, bins, by), bins, by)
+
+
+def _spine(filled: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
+    """Binned rows of each group with the empty bins added."""
     edges = bin_edges(bins)
     spine = F.array(
         *[
@@ -144,7 +163,6 @@ def calibration_bins(subjects: DataFrame, bins: int = 10, by: Sequence[str] = ()
             for i in range(bins)
         ]
     )
-    filled = _binned(subjects, bins, by)
     found = F.map_from_entries(
         F.collect_list(
             F.when(
@@ -189,7 +207,10 @@ def ranking_scores(subjects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Both are NaN where only one class occurs.
     """
-    points = threshold_points(subjects, by)
+    return _ranking(threshold_points(subjects, by), by)
+
+
+def _ranking(points: DataFrame, by: Sequence[str]) -> DataFrame:
     ranked = _ranked(points, by)
     tp = F.col("before_pos") + F.col("pos")
     area = F.col("neg") * (F.col("before_pos") + F.col("pos") / F.lit(2.0))
@@ -269,15 +290,89 @@ def pr_curve(subjects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _with_end_point(curve, by, F.col("_edge"), end)
 
 
+def probability_counts(subjects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Subjects by (probability, label, prediction): all that the metrics need, combined before the shuffle."""
+    return subjects.groupBy(*by, "probability", "label", "prediction").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+
+
+def metrics_from_counts(counts: DataFrame, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
+    """The full metrics record from the counts above, which are read twice: store them."""
+    n, p, y = F.col("_n"), F.col("probability"), F.col("label")
+    binned = (
+        counts.withColumn("_bin", bin_index(p, bins))
+        .groupBy(*by, "_bin")
+        .agg(
+            F.sum(n).alias("num_subjects"),
+            *[
+                F.sum(_is(label, prediction) * n).alias(name)
+                for name, label, prediction in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+            ],
+            F.sum(n * (p - y) * (p - y)).alias("_square"),
+            F.sum(F.when((p - y).isNotNull(), n)).alias("_known"),
+            F.abs(F.sum(n * y) - F.sum(n * p)).alias("_gap"),
+        )
+    )
+    gap = F.coalesce(F.sum(F.when(F.col("_bin").isNotNull(), F.col("_gap"))), F.lit(0.0))
+    base = with_scores(
+        binned.groupBy(*by).agg(
+            F.coalesce(F.sum("num_subjects"), F.lit(0)).alias("num_subjects"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tn", "fp", "fn", "tp")],
+            (F.sum("_square") / F.sum("_known")).alias("brier_score"),
+            (gap / F.sum("num_subjects")).alias("ece"),
+        )
+    )
+    points = counts.groupBy(*by, "probability").agg(
+        F.sum(n * y.cast("long")).alias("pos"), F.sum(n * (1 - y).cast("long")).alias("neg")
+    )
+    ranking = _ranking(points, by)
+    if by:
+        joined = join_null_safe(base, ranking, by)
+    else:
+        joined = base.withColumn("_all", F.lit(0)).join(ranking.withColumn("_all", F.lit(0)), "_all")
+    record = [c for c in base.columns if c not in (*by, "ece")]
+    return joined.select(*by, *record, "ece", "auroc", "pr_auc")
+
+
 def classification_metrics(
     subjects: DataFrame, by: Sequence[str] = (), bins: int = 10
 ) -> DataFrame:
-    """The full metrics record, one row per group; a NULL key is a group of its own."""
-    base = with_scores(confusion(subjects, by))
-    ece = expected_calibration_error(subjects, bins, by)
-    ranking = ranking_scores(subjects, by)
+    """The full metrics record, one row per group; a NULL key is a group of its own.
+
+    The subjects are read once; everything comes from their stored counts.
+    """
+    return metrics_from_counts(checkpointed(probability_counts(subjects, by)), by, bins)
+
+
+def slice_metrics(subjects: DataFrame, slices: Mapping[str, Column], bins: int = 10) -> DataFrame:
+    """The full metrics record for every value of every slice: ``slice, value`` and the record.
+
+    All slices are counted in one pass over the subjects. A NULL value is a slice of its own.
+    """
+    entries = F.array(
+        *[F.struct(F.lit(n).alias("slice"), c.cast("string").alias("value")) for n, c in slices.items()]
+    )
+    rows = subjects.select("probability", "label", "prediction", F.explode(entries).alias("_s")).select(
+        "probability", "label", "prediction", "_s.slice", "_s.value"
+    )
+    return classification_metrics(rows, ["slice", "value"], bins)
+
+
+def calibration_record(subjects: DataFrame, by: Sequence[str] = (), bins: int = 10) -> DataFrame:
+    """Calibration in one row per group: number of subjects, ECE, Brier score and the bins as an array."""
+    counts = checkpointed(probability_counts(subjects, by))
+    weighted = counts.select(
+        *by, "probability", "label", "_n", F.lit(None).cast("int").alias("prediction")
+    )
+    totals = metrics_from_counts(weighted, by, bins).select(*by, "num_subjects", "ece", "brier_score")
+    filled = _spine(_binned_counts(weighted, bins, by), bins, by)
+    cells = filled.groupBy(*by).agg(
+        F.array_sort(
+            F.collect_list(F.struct("bin_index", "left", "right", "count", "mean_confidence", "mean_accuracy"))
+        ).alias("bins")
+    )
     if by:
-        return join_null_safe(join_null_safe(base, ece, by), ranking, by)
+        return join_null_safe(totals, cells, by)
     key = "_all"
-    tables = [t.withColumn(key, F.lit(0)) for t in (base, ece, ranking)]
-    return reduce(lambda a, b: a.join(b, key), tables).drop(key)
+    return totals.withColumn(key, F.lit(0)).join(cells.withColumn(key, F.lit(0)), key).drop(key)

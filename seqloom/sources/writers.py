@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import metrics
+from seqloom.operators import errors, metrics
 from seqloom.session import checkpointed
 from seqloom.sources.storage import write_bytes
 
@@ -46,6 +46,37 @@ def write_predictions(subjects: DataFrame, path: str, bins: int = 10) -> None:
     metrics.calibration_bins(subjects, bins).write.json(f"{path}/calibration")
 
 
+# Keys of the review document.
+REVIEW_LISTS = ("top_false_positives", "top_false_negatives", "sparse_failures")
+_REVIEW_ROW = "struct<subject_id: string, label: int, prediction: int, probability: double, num_windows: long>"
+
+
+def write_error_review(subjects: DataFrame, path: str) -> None:
+    """One document with the error counts and the three review lists, each in its order.
+
+    The lists have a fixed length, so the document is small for any number of subjects.
+    """
+    subjects = checkpointed(subjects)
+    picks = (errors.top_false_positives, errors.top_false_negatives, errors.sparse_failures)
+    orders = (-F.col("probability"), F.col("probability"), -F.col("probability"))
+    document = errors.error_counts(subjects)
+    for name, pick, order in zip(REVIEW_LISTS, picks, orders):
+        row = F.struct(order.alias("_at"), *errors.COLUMNS)
+        rows = pick(subjects).agg(F.array_sort(F.collect_list(row)).alias(name))
+        # the sort key goes, ties were put in order by subject
+        plain = F.transform(name, lambda r: F.struct(*[r[c].alias(c) for c in errors.COLUMNS]))
+        document = document.withColumn("_one", F.lit(1)).join(
+            rows.select(plain.alias(name), F.lit(1).alias("_one")), "_one"
+        ).drop("_one")
+    document.coalesce(1).write.json(path)
+
+
+def read_error_review(spark: SparkSession, path: str) -> DataFrame:
+    lists = ", ".join(f"{name} array<{_REVIEW_ROW}>" for name in REVIEW_LISTS)
+    counts = "false_positives long, false_negatives long, sparse_subjects long"
+    return spark.read.schema(f"{counts}, {lists}").json(path)
+
+
 def write_leaderboard(rows: DataFrame, path: str) -> None:
     """Sorted CSV; the order of the rows is kept by a single output file.
 
