@@ -9,4 +9,5 @@ from catalog import (  # noqa: F401
     q_selection,
     q_sequence,
     q_sources,
+    q_streaming,
 )

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.streaming.run import append_available
+
 
 def append_new_files(
     spark: SparkSession,
@@ -30,14 +32,4 @@ def append_new_files(
     arrived = (
         spark.readStream.format(file_format).schema(schema).options(**(options or {})).load(landing)
     )
-    query = (
-        work(arrived)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return sum(progress["numInputRows"] for progress in query.recentProgress)
+    return append_available(work(arrived), out, checkpoint).rows
