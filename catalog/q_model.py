@@ -17,7 +17,8 @@ from catalog.tables import (
 )
 from seqloom.operators import aggregate, metrics, model
 from seqloom.plans import corpora, search
-from seqloom.session import checkpointed
+from seqloom.plans.ledger import Store
+from seqloom.session import checkpointed, new_shared_path, register
 
 POOL_SQL = ", ".join(
     f"""round(coalesce({fn}(f{i}) FILTER (f0 <> 0 OR f1 <> 0), 0), 9) AS {name}{i}"""
@@ -341,14 +342,20 @@ def suite(spark, sf_dir):
     )
 
 
+def new_store(spark):
+    return Store(spark, register(new_shared_path(spark, "search")))
+
+
 @query("ml_sweep")
 def ml_sweep(spark, sf_dir):
-    return search.staged_search(suite(spark, sf_dir)).to_df(spark)
+    store = new_store(spark)
+    search.staged_search(suite(spark, sf_dir), store)
+    return search.load_ledger(store, "dvlog_both").to_df(spark)
 
 
 @query("ml_finalize")
 def ml_finalize(spark, sf_dir):
-    # the ledger of a finished search, as it would be read back
-    config = {**BASE, "window_size": 5, "stride": 2, "balanced_sampling": True, "reg_param": 0.1}
-    ledger = search.Ledger([], config, "mean")
-    return search.finalize(suite(spark, sf_dir), ledger)
+    """The locked run, from the stored ledger of the search over the same tables."""
+    store, tried = new_store(spark), suite(spark, sf_dir)
+    search.staged_search(tried, store)
+    return search.finalize(tried, search.load_ledger(store, "dvlog_both"), store)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from seqloom.functions import losses
 from seqloom.functions.randomness import whole_copies
 from seqloom.operators import audit, model, sampling, selection
 from seqloom.plans import search
+from seqloom.plans.ledger import Store
 
 
 def test_best_epoch_of_a_published_history(spark):
@@ -145,3 +147,93 @@ def test_search_picks_the_informative_window(spark):
     assert ledger.final_config["window_size"] == 6
     final = {r["fold"]: r for r in search.finalize(suite, ledger).collect()}
     assert final["test"]["macro_f1_mean"] == pytest.approx(1.0) and final["test"]["num_seeds"] == 2
+
+
+def small_suite(spark, made):
+    rng = random.Random(2)
+    rows = [
+        (str(s), w, [rng.gauss(0.8 * (s % 2), 1), rng.gauss(0, 1)], s % 2, "train" if s < 60 else "dev" if s < 90 else "test")
+        for s in range(120)
+        for w in range(3)
+    ]
+    df = spark.createDataFrame(
+        rows, "subject_id string, window_idx long, features array<double>, label_binary int, fold string"
+    )
+
+    def windows(config):
+        made.append(config["window_size"])
+        return df
+
+    return search.Suite(
+        track="t", dataset="d", windows=windows, base={"window_size": 3, "stride": 1, "max_iter": 3},
+        window_sizes=(3, 4), policies=(search.Candidate("plain", {}), search.Candidate("weighted", {"use_pos_weight": True})),
+        capacities=(search.Candidate("small", {"reg_param": 0.1}),), dev_seeds=(7,), final_seeds=(7, 17), methods=("mean", "topk"),
+    )
+
+
+def test_a_killed_search_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
+    """Finished experiments are read back; a half-written one is done again; the ledger is the last thing."""
+    calls, real = [], search.model.train_and_score
+
+    def dying(*args, **options):
+        calls.append(1)
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return real(*args, **options)
+
+    monkeypatch.setattr(search.model, "train_and_score", dying)
+    whole, broken = (Store(spark, str(tmp_path / n)) for n in ("whole", "broken"))
+    with pytest.raises(KeyboardInterrupt):
+        search.staged_search(small_suite(spark, []), broken)
+    assert len([c for c in broken.computed if c.endswith("predictions")]) == 2
+    assert search.load_ledger(broken, "t") is None
+    with pytest.raises(RuntimeError, match="none was given"):
+        search.finalize(small_suite(spark, []), search.load_ledger(broken, "t"), broken)
+    # What a killed job leaves: files without the marker.
+    victim = next(c for c in broken.computed if c.endswith("predictions"))
+    for marker in (tmp_path / "broken" / victim).glob("*_SUCCESS*"):
+        marker.unlink()
+    folder = victim.rsplit("/", 1)[0]
+    for marker in (tmp_path / "broken" / folder).glob("metrics-*/*_SUCCESS*"):
+        marker.unlink()
+    calls[:] = [0] * 10
+    again = Store(spark, str(tmp_path / "broken"))
+    resumed = search.staged_search(small_suite(spark, []), again)
+    assert victim in again.computed
+    trained = len(calls) - 10
+    calls[:] = [0] * 10
+    complete = search.staged_search(small_suite(spark, []), whole)
+    assert len(calls) - 10 == trained + 1  # one experiment was read back
+    assert resumed.rows == complete.rows and resumed.final_config == complete.final_config
+    # A third run trains nothing and makes no windows.
+    calls[:], made = [0] * 10, []
+    third = search.staged_search(small_suite(spark, made), Store(spark, str(tmp_path / "whole")))
+    assert third.rows == complete.rows and len(calls) == 10 and made == []
+
+    # The stored ledger: stages in order, one choice each, the first best candidate wins.
+    ledger = search.load_ledger(whole, "t")
+    assert [tuple(r) for r in ledger.rows] == [tuple(r) for r in complete.rows]
+    assert ledger.final_config == complete.final_config
+    for stage in search.STAGES:
+        rows = [r for r in ledger.rows if r["stage"] == stage]
+        best = max(round(r["macro_f1_mean"], 12) for r in rows)
+        first = next(r for r in rows if round(r["macro_f1_mean"], 12) == best)
+        assert [r for r in rows if r["selected"]] == [first]
+
+    # The stored metrics, told again by SQL from the stored predictions.
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("p", whole.predictions().toPandas())
+    told = con.execute(
+        """WITH s AS (SELECT key, fold, seed, subject_id, min(label) AS y, avg(window_probability) AS p FROM p GROUP BY ALL),
+        c AS (SELECT key, fold, seed, sum((y = 1 AND p >= 0.5)::INT) AS tp, sum((y = 0 AND p >= 0.5)::INT) AS fp,
+                     sum((y = 1 AND p < 0.5)::INT) AS fn, sum((y = 0 AND p < 0.5)::INT) AS tn FROM s GROUP BY ALL)
+        SELECT key, tp, fp, fn, tn, (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fp + fn)) / 2 FROM c"""
+    ).fetchall()
+    stored = {r["key"]: r for r in whole.metrics().where("method = 'mean'").collect()}
+    assert len(told) == len(stored) >= 3
+    for key, tp, fp, fn, tn, macro in told:
+        r = stored[key]
+        assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (tp, fp, fn, tn)
+        assert r["macro_f1"] == pytest.approx(macro)
