@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -94,8 +95,11 @@ def src_links(spark, sf_dir):
 # --- arrays ---------------------------------------------------------------------------------------
 
 
-def write_arrays(spark, sf_dir):
-    """One ``<subject>_visual.npy`` per sequence of ten vectors."""
+def write_arrays(spark, sf_dir, empty_every=0):
+    """One ``<subject>_visual.npy`` per sequence of ten vectors.
+
+    With ``empty_every`` subjects divisible by it also get an acoustic file of no bytes.
+    """
     root = new_shared_path(spark, "arrays")
 
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,6 +108,8 @@ def write_arrays(spark, sf_dir):
         out = io.BytesIO()
         np.save(out, matrix)
         write_bytes(f"{root}/{subject}/{subject}_visual.npy", out.getvalue())
+        if empty_every and subject % empty_every == 0:
+            write_bytes(f"{root}/{subject}/{subject}_acoustic.npy", b"")
         return pd.DataFrame({"subject_id": [subject]})
 
     rows = vector_frames(spark, sf_dir).select("subject_id", "sec", "features")
@@ -142,11 +148,12 @@ def src_array_shape(spark, sf_dir):
 @query(
     "src_files",
     f"""WITH {VECTOR_FRAMES_SQL}
-SELECT DISTINCT CAST(subject_id AS VARCHAR) AS subject_id, FALSE AS has_acoustic, TRUE AS has_visual
-FROM vector_frames""",
+SELECT DISTINCT CAST(subject_id AS VARCHAR) AS subject_id, subject_id % 5 = 0 AS has_acoustic,
+       TRUE AS has_visual FROM vector_frames""",
 )
 def src_files(spark, sf_dir):
-    found = files.modality_files(write_arrays(spark, sf_dir))
+    """Every fifth subject has an acoustic file of no bytes, which is listed like any other."""
+    found = files.modality_files(write_arrays(spark, sf_dir, empty_every=5))
     return found.select(
         "subject_id",
         F.col("acoustic_path").isNotNull().alias("has_acoustic"),
@@ -193,7 +200,8 @@ def sink_stats(spark, sf_dir):
 # --- archives -------------------------------------------------------------------------------------
 
 # 200 consecutive events make one archive; an archive whose number is divisible by 10 lacks the
-# acoustic member, one divisible by 7 is cut off after its visual member.
+# acoustic member, one divisible by 7 is cut off in the middle of its last member, and every third of
+# those that lack a member (10, 40, 70, ...) is a file of no bytes.
 EVENTS_PER_ARCHIVE = 200
 
 
@@ -224,13 +232,20 @@ def write_archives(spark, sf_dir):
         if pid % 10 == 0:
             del members["acoustic"]
         out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as tar:
+        with tarfile.open(fileobj=out, mode="w") as tar:
             for kind, text in members.items():
                 payload = text.encode()
                 info = tarfile.TarInfo(f"{pid}_P/" + archives.PAYLOADS[kind].format(pid=pid))
                 info.size = len(payload)
+                middle = tar.offset + tarfile.BLOCKSIZE + len(payload) // 2
                 tar.addfile(info, io.BytesIO(payload))
-        data = out.getvalue()
+        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+        if pid % 30 == 10:
+            data = b""
+        elif pid % 7 == 0:
+            data = packer.compress(out.getvalue()[:middle]) + packer.flush(zlib.Z_FULL_FLUSH)
+        else:
+            data = packer.compress(out.getvalue()) + packer.flush()
         write_bytes(f"{root}/{pid}_P.tar.gz", data)
         return pd.DataFrame({"pid": [pid]})
 
@@ -240,50 +255,58 @@ def write_archives(spark, sf_dir):
 
 ARCHIVE_SQL = """WITH raw AS (
   SELECT event_id // 200 AS pid, event_id, value,
-         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_type FROM events)"""
+         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_type,
+         pid % 30 = 10 AS empty, pid % 7 = 0 AS cut, pid % 10 <> 0 AS two,
+         NOT empty AND NOT (cut AND NOT two) AS visual, two AND NOT cut AS acoustic FROM events)"""
 
 
 @query(
     "src_archive",
     f"""{ARCHIVE_SQL}
-SELECT pid AS participant, 'visual' AS kind, count(*) + 1 AS "lines" FROM raw GROUP BY pid
-UNION ALL SELECT pid, 'acoustic', count(*) + 1 FROM raw WHERE pid % 10 <> 0 GROUP BY pid""",
+SELECT pid AS participant, 'visual' AS kind, count(*) + 1 AS "lines" FROM raw WHERE visual GROUP BY pid
+UNION ALL SELECT pid, 'acoustic', count(*) + 1 FROM raw WHERE acoustic GROUP BY pid""",
 )
 def src_archive(spark, sf_dir):
     lines = archives.read_payload_lines(write_archives(spark, sf_dir))
-    return (
-        lines.where(F.col("kind").isNotNull())
-        .groupBy("participant", "kind")
-        .agg(F.count(F.lit(1)).alias("lines"))
-    )
+    return lines.groupBy("participant", "kind").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query(
     "src_archive_listing",
     f"""{ARCHIVE_SQL}, firsts AS (
-  SELECT DISTINCT pid, CAST(pid AS VARCHAR) || '_P.tar.gz' AS archive FROM raw ORDER BY archive LIMIT 3)
-SELECT archive, CAST(pid AS VARCHAR) || '_OpenFace2.1.0_Pose_gaze_AUs.csv' AS member FROM firsts
-UNION ALL SELECT archive, CAST(pid AS VARCHAR) || '_OpenSMILE2.3.0_egemaps.csv' FROM firsts WHERE pid % 10 <> 0""",
+  SELECT DISTINCT pid, CAST(pid AS VARCHAR) || '_P.tar.gz' AS archive, empty, cut, two FROM raw
+  ORDER BY archive LIMIT 3)
+SELECT archive, CAST(pid AS VARCHAR) || '_OpenFace2.1.0_Pose_gaze_AUs.csv' AS member, NULL AS error
+FROM firsts WHERE NOT empty
+UNION ALL SELECT archive, CAST(pid AS VARCHAR) || '_OpenSMILE2.3.0_egemaps.csv', NULL FROM firsts WHERE two
+UNION ALL SELECT archive, NULL, CASE WHEN empty THEN 'not a gzip file' ELSE 'unexpected end of data' END
+FROM firsts WHERE empty OR cut""",
 )
 def src_archive_listing(spark, sf_dir):
     first = archives.first_archives(write_archives(spark, sf_dir))
-    return archives.list_members(first).select("archive", "member")
+    return archives.list_members(first)
 
 
 EXTRACT_SQL = f"""{ARCHIVE_SQL}, outcome AS (
-  SELECT pid, CASE WHEN pid % 10 = 0 THEN 'partial' ELSE 'success' END AS status,
-         count(CASE WHEN event_id % 17 <> 0 THEN 1 END) AS visual_len,
-         CASE WHEN pid % 10 <> 0 THEN count(*) END AS acoustic_len,
-         avg(CASE WHEN event_id % 17 <> 0 THEN 1 - k / 100 END) AS confidence_mean
-  FROM raw GROUP BY pid)"""
+  SELECT pid, CASE WHEN visual AND acoustic THEN 'success' WHEN visual THEN 'partial' ELSE 'failed' END AS status,
+         CASE WHEN visual THEN count(CASE WHEN event_id % 17 <> 0 THEN 1 END) END AS visual_len,
+         CASE WHEN acoustic THEN count(*) END AS acoustic_len,
+         CASE WHEN visual THEN 49 END::BIGINT AS visual_dim,
+         CASE WHEN acoustic THEN 2 END::BIGINT AS acoustic_dim,
+         CASE WHEN visual THEN avg(CASE WHEN event_id % 17 <> 0 THEN 1 - k / 100 END) END AS confidence_mean,
+         concat_ws('; ',
+           CASE WHEN empty THEN 'not a gzip file'
+                WHEN cut THEN CAST(pid AS VARCHAR) || CASE WHEN two THEN '_OpenSMILE2.3.0_egemaps.csv'
+                  ELSE '_OpenFace2.1.0_Pose_gaze_AUs.csv' END || ': unexpected end of data; unexpected end of data' END,
+           CASE status WHEN 'partial' THEN 'partial_subject_recovered'
+                WHEN 'failed' THEN 'no_required_features_recovered' END) AS warnings
+  FROM raw GROUP BY pid, empty, cut, two, visual, acoustic)"""
 
 
 @query(
     "src_extracted",
     f"""{EXTRACT_SQL}
-SELECT pid || '_P' AS subject_id, status, visual_len, acoustic_len, 49::BIGINT AS visual_dim,
-       CASE WHEN pid % 10 <> 0 THEN 2 END::BIGINT AS acoustic_dim,
-       CASE WHEN pid % 10 = 0 THEN 'partial_subject_recovered' ELSE '' END AS warnings,
+SELECT pid || '_P' AS subject_id, status, visual_len, acoustic_len, visual_dim, acoustic_dim, warnings,
        round(confidence_mean, 5) AS confidence_mean FROM outcome""",
 )
 def src_extracted(spark, sf_dir):
@@ -305,8 +328,8 @@ def src_extracted(spark, sf_dir):
 
 @query(
     "src_reports",
-    f"""{EXTRACT_SQL} SELECT pid || '_P' AS participant, status,
-       'partial_subject_recovered' AS warnings FROM outcome WHERE status = 'partial'""",
+    f"""{EXTRACT_SQL} SELECT pid || '_P' AS participant, status, warnings
+FROM outcome WHERE status <> 'success'""",
 )
 def src_reports(spark, sf_dir):
     results = extraction.extract(write_archives(spark, sf_dir)).metadata

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from seqloom.functions import labels as L
 from seqloom.operators.audit import quality_columns
 from seqloom.operators.skew import join_spread
-from seqloom.session import new_shared_path
 from seqloom.sources import archives as A
 from seqloom.sources import readers as R
 
 # Fixed value: results of other versions are extracted again.
 EXTRACTOR_VERSION = "2.0"
 
+# What tells one member of one archive from all others of its kind.
+_MEMBER = ["participant", "archive", "member"]
+
 
 @dataclass
 class Extraction:
@@ -26,31 +28,30 @@ class Extraction:
     metadata: DataFrame
 
 
-def _materialised_lines(archives: DataFrame) -> DataFrame:
-    """Every archive is decompressed once; all later steps read the written lines."""
-    spark = archives.sparkSession
-    path = new_shared_path(spark, "payload-lines")
-    A.read_payload_lines(archives).write.partitionBy("kind").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _headers(lines: DataFrame, sep: str) -> DataFrame:
-    head = lines.where((F.col("line_no") == 0) & F.col("line").isNotNull())
-    return head.select("participant", R.split_fields(F.col("line"), sep).alias("header"))
+def _headers(staged: DataFrame, kind: str, sep: str) -> DataFrame:
+    """The first line of each whole member, which is all that tells its other lines from cut ones."""
+    first = staged.where(
+        (F.col("record") == "line") & (F.col("kind") == kind) & (F.col("line_no") == 0)
+    )
+    head = first.join(A.whole_members(staged), ["participant", "archive", "kind", "member"])
+    return head.select(*_MEMBER, R.split_fields(F.col("line"), sep).alias("header"))
 
 
 def _positions(names: Column) -> Column:
     return F.transform(names, lambda n: F.array_position("header", n).cast("int"))
 
 
-def _parsed(lines: DataFrame, heads: DataFrame, sep: str) -> DataFrame:
+def _parsed(staged: DataFrame, kind: str, heads: DataFrame, sep: str) -> DataFrame:
     """Numeric fields at the header's ``positions``; rows with an unreadable field are dropped.
 
-    The line is split once and bound to a lambda variable, and the parsed row comes out of a
+    Headers come from whole members only, so the join that brings the positions also leaves out
+    lines of members cut short. The line is split once and bound to a lambda variable, and the parsed row comes out of a
     generator, so that neither is evaluated again for every field that is used.
     """
-    body = lines.where(F.col("line_no") > 0).select("participant", "line_no", "line")
-    placed = join_spread(body, heads, ["participant"], "line_no")
+    body = staged.where(
+        (F.col("record") == "line") & (F.col("kind") == kind) & (F.col("line_no") > 0)
+    ).select(*_MEMBER, "line_no", "line")
+    placed = join_spread(body, heads, _MEMBER, "line_no")
     parsed = F.transform(
         F.array(R.split_fields(F.col("line"), sep)),
         lambda values: F.transform(
@@ -61,16 +62,16 @@ def _parsed(lines: DataFrame, heads: DataFrame, sep: str) -> DataFrame:
     return placed.select("participant", "line_no", F.explode(readable).alias("fields"))
 
 
-def parse_visual(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_visual(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(frames, headers)``; a header that lacks required columns yields no frames."""
     required = F.array(*[F.lit(c) for c in R.VISUAL_REQUIRED])
-    heads = _headers(lines, ",").select(
-        "participant",
+    heads = _headers(staged, "visual", ",").select(
+        *_MEMBER,
         F.array_sort(F.array_except(required, F.col("header"))).alias("missing"),
         _positions(required).alias("positions"),
     )
     usable = heads.where(F.size("missing") == 0).drop("missing")
-    rows = _parsed(lines, usable, ",")
+    rows = _parsed(staged, "visual", usable, ",")
     frames = rows.select(
         "participant",
         F.col("fields")[0].cast("float").alias("ts"),
@@ -81,18 +82,18 @@ def parse_visual(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frames, heads.select("participant", "missing")
 
 
-def parse_acoustic(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_acoustic(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As :func:`parse_visual`; the features are whatever columns the header lists."""
     metadata = F.array(*[F.lit(c) for c in R.ACOUSTIC_METADATA])
     time = F.array(F.lit(R.ACOUSTIC_TIME))
     features = F.filter("header", lambda n: ~F.array_contains(metadata, n))
-    heads = _headers(lines, ";").select(
-        "participant",
+    heads = _headers(staged, "acoustic", ";").select(
+        *_MEMBER,
         F.array_except(time, F.col("header")).alias("missing"),
         _positions(F.concat(time, features)).alias("positions"),
     )
     usable = heads.where(F.size("missing") == 0).drop("missing")
-    rows = _parsed(lines, usable, ";")
+    rows = _parsed(staged, "acoustic", usable, ";")
     frames = rows.select(
         "participant",
         F.col("fields")[0].cast("float").alias("ts"),
@@ -123,12 +124,12 @@ def _availability(
 
 def extract(archives: DataFrame) -> Extraction:
     """Frames of both modalities and one metadata row per archive, damaged archives included."""
-    lines = _materialised_lines(archives)
-    visual, visual_heads = parse_visual(lines.where(F.col("kind") == "visual"))
-    acoustic, acoustic_heads = parse_acoustic(lines.where(F.col("kind") == "acoustic"))
+    staged = A.stage_payloads(archives)
+    visual, visual_heads = parse_visual(staged)
+    acoustic, acoustic_heads = parse_acoustic(staged)
     joined = (
         archives.select("participant", "archive")
-        .join(A.distinct_warnings(lines), "participant", "left")
+        .join(A.distinct_warnings(staged), "participant", "left")
         .join(_availability(visual_heads, visual, "visual", quality_columns()), "participant", "left")
         .join(_availability(acoustic_heads, acoustic, "acoustic"), "participant", "left")
     )

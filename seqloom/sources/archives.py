@@ -1,8 +1,9 @@
 """Two named feature files out of ``<number>_P.tar.gz`` archives.
 
-A compressed archive can only be read front to back, so an archive is the unit of work; its lines
-are streamed in batches and never held together. Members that end before a damaged spot are kept,
-a member cut short is left out, as a first pass over the archive establishes.
+A compressed archive can only be read front to back, so an archive is the unit of work. It is inflated
+once: its lines are streamed in batches to a stored table, and a member that could be read to its end
+leaves a mark of completeness behind its lines. A join on the marks keeps whole members; what a
+damaged spot has cut short is staged, but never given out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.skew import work_partitions
+from seqloom.operators.skew import join_spread, work_partitions
+from seqloom.session import stored
 from seqloom.sources.files import archive_participant, base_name
 from seqloom.sources.storage import open_sequential
 
@@ -27,9 +29,12 @@ PAYLOADS = {
     "acoustic": "{pid}_OpenSMILE2.3.0_egemaps.csv",
 }
 LINE_BATCH = 20_000
-CHUNK_BYTES = 1 << 20
 _DAMAGE = (tarfile.TarError, EOFError, OSError, zlib.error)
-_LINES = "participant long, archive string, kind string, line_no long, line string, warning string"
+#: ``record`` is "line", "whole" (the mark behind a member's lines) or "warning", numbered by ``line_no``.
+_STAGED = (
+    "participant long, archive string, record string, kind string, member long, line_no long, line string"
+)
+_MEMBER = ["participant", "archive", "kind", "member"]
 _LISTING = "archive string, member string, error string"
 
 
@@ -49,77 +54,94 @@ def _open(path: str):
         yield tar
 
 
-def _complete_members(path: str, wanted: dict[str, str]) -> tuple[dict[int, str], list[str]]:
-    """Positions of the wanted members that can be read to their end, and what went wrong.
+def _records(path: str, wanted: dict[str, str]) -> Iterator[tuple]:
+    """``(record, kind, member, line_no, line)`` of the wanted members, in one pass over the archive.
 
-    Where a name occurs more than once, in several folders say, the last complete member counts.
+    The pass ends early once every kind has been read whole.
     """
-    found: dict[str, int] = {}
+    missing = set(wanted.values())
     warnings: list[str] = []
     try:
         with _open(path) as tar:
             for position, member in enumerate(tar):
                 name = os.path.basename(member.name)
-                if name not in wanted:
+                kind = wanted.get(name)
+                if kind is None:
                     continue
                 source = tar.extractfile(member)
                 if source is None:
                     warnings.append(f"{name}: not a regular file")
                     continue
+                number = 0
                 try:
-                    while source.read(CHUNK_BYTES):
-                        pass
+                    for raw in source:
+                        text = raw.decode("utf-8", errors="replace").rstrip("\r\n")
+                        yield "line", kind, position, number, text
+                        number += 1
                 except _DAMAGE as exc:
                     warnings.append(f"{name}: {exc}")
                     continue
-                found[wanted[name]] = position
+                yield "whole", kind, position, number, None
+                missing.discard(kind)
+                if not missing:
+                    break
     except _DAMAGE as exc:
         warnings.append(str(exc))
-    return {position: kind for kind, position in found.items()}, warnings
+    for number, warning in enumerate(warnings):
+        yield "warning", None, None, number, warning
 
 
-def _payload_lines(path: str, members: dict[int, str]) -> Iterator[tuple[str, int, str]]:
-    left = len(members)
-    with _open(path) as tar:
-        for position, member in enumerate(tar):
-            kind = members.get(position)
-            if kind is None:
-                continue
-            for number, raw in enumerate(tar.extractfile(member)):
-                yield kind, number, raw.decode("utf-8", errors="replace").rstrip("\r\n")
-            left -= 1
-            if left == 0:
-                return
+def stage_payloads(archives: DataFrame, payloads: dict[str, str] | None = None) -> DataFrame:
+    """Lines, marks and warnings of all archives as a stored table, each archive inflated once.
 
-
-def read_payload_lines(archives: DataFrame, payloads: dict[str, str] | None = None) -> DataFrame:
-    """Lines of the wanted members (``kind, line_no, line``) and warnings (``warning``)."""
+    Damaged and empty archives give a warning and fail nothing. The table is partitioned by
+    ``record`` and ``kind``, so that reading the marks or one kind touches nothing else.
+    """
     names = payloads or PAYLOADS
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 wanted = {t.format(pid=row.participant): kind for kind, t in names.items()}
-                members, warnings = _complete_members(row.path, wanted)
-                rows = [(row.participant, row.archive, None, None, None, w) for w in warnings]
-                if members:
-                    for kind, number, line in _payload_lines(row.path, members):
-                        rows.append((row.participant, row.archive, kind, number, line, None))
-                        if len(rows) >= LINE_BATCH:
-                            yield _frame(rows)
-                            rows = []
+                rows: list[tuple] = []
+                for record in _records(row.path, wanted):
+                    rows.append((row.participant, row.archive, *record))
+                    if len(rows) >= LINE_BATCH:
+                        yield _frame(rows)
+                        rows = []
                 if rows:
                     yield _frame(rows)
 
     spread = archives.select("participant", "archive", "path").repartition(
         work_partitions(archives), "path"
     )
-    return spread.mapInPandas(read, _LINES)
+    return stored(spread.mapInPandas(read, _STAGED), "payload-lines", ("record", "kind"))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [part.split()[0] for part in _LINES.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"line_no": "Int64"})
+    names = [part.split()[0] for part in _STAGED.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({"member": "Int64", "line_no": "Int64"})
+
+
+def whole_members(staged: DataFrame) -> DataFrame:
+    """``participant, archive, kind, member``: where each kind stands whole.
+
+    Of several members with one name, in several folders say, the last whole one counts.
+    """
+    marks = staged.where(F.col("record") == "whole")
+    return marks.groupBy("participant", "archive", "kind").agg(F.max("member").alias("member"))
+
+
+def payload_lines(staged: DataFrame) -> DataFrame:
+    """``participant, archive, kind, member, line_no, line`` of whole members only."""
+    lines = staged.where(F.col("record") == "line").drop("record")
+    kept = join_spread(lines, whole_members(staged), _MEMBER, "line_no")
+    return kept.select(*_MEMBER, "line_no", "line")
+
+
+def read_payload_lines(archives: DataFrame, payloads: dict[str, str] | None = None) -> DataFrame:
+    """Stage the archives and return the lines of their whole members."""
+    return payload_lines(stage_payloads(archives, payloads))
 
 
 def first_archives(archives: DataFrame, n: int = 3) -> DataFrame:
@@ -144,10 +166,10 @@ def list_members(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "path").mapInPandas(read, _LISTING)
 
 
-def distinct_warnings(lines: DataFrame) -> DataFrame:
-    """Warnings per participant, each once, in the order first seen."""
-    warned = lines.where(F.col("warning").isNotNull()).select("participant", "warning")
+def distinct_warnings(staged: DataFrame) -> DataFrame:
+    """Warnings per participant, each once, in the order met; an archive has at most a few."""
+    met = F.collect_list(F.struct("archive", "line_no", "line"))
+    warned = staged.where(F.col("record") == "warning")
     return warned.groupBy("participant").agg(
-        F.array_distinct(F.collect_list("warning")).alias("warnings")
+        F.array_distinct(F.transform(F.array_sort(met), lambda w: w["line"])).alias("warnings")
     )
-

@@ -23,11 +23,11 @@ def test_array_slices_and_headers(spark, tmp_path):
     (tmp_path / "6_visual.npy").write_bytes(b"")
     listing = files.list_files(spark, str(tmp_path), "*.npy")
     shapes = {os.path.basename(r["path"]): r for r in arrays.array_shapes(listing).collect()}
-    assert "6_visual.npy" not in shapes
+    assert shapes["6_visual.npy"]["error"] and shapes["6_visual.npy"]["rows"] is None
     assert (shapes["1_visual.npy"]["rows"], shapes["1_visual.npy"]["width"]) == (20, 3)
     assert shapes["2_visual.npy"]["dtype"] == "float32" and shapes["2_visual.npy"]["width"] == 1
     assert shapes["4_visual.npy"]["error"] and shapes["5_visual.npy"]["by_column"]
-    with pytest.raises(PySparkException, match="4_visual.npy"):
+    with pytest.raises(PySparkException, match="[46]_visual.npy"):
         arrays.read_arrays(listing, slice_rows=6).collect()
     rows = arrays.read_arrays(listing, slice_rows=6, skip_damaged=True)
     for name in ("1_visual", "5_visual"):
@@ -74,15 +74,17 @@ def test_extraction_of_good_and_damaged_archives(spark, tmp_path):
     whole = (tmp_path / "301_P.tar.gz").read_bytes()
     (tmp_path / "301_P.tar.gz").write_bytes(whole[: len(whole) // 2])
     (tmp_path / "302_P.tar.gz").write_bytes(b"this is no archive")
+    (tmp_path / "304_P.tar.gz").write_bytes(b"")
     write_archive(tmp_path / "303_P.tar.gz", {payload("visual", 303): "timestamp, success\n1, 1",
                                               payload("acoustic", 303): acoustic})
     (tmp_path / "notes.tar.gz").write_bytes(b"x")
     table = archives.archive_table(files.list_files(spark, str(tmp_path), "*.tar.gz"))
     result = extraction.extract(table)
     meta = {r["subject_id"]: r for r in result.metadata.collect()}
-    assert set(meta) == {"300_P", "301_P", "302_P", "303_P"}
+    assert set(meta) == {"300_P", "301_P", "302_P", "303_P", "304_P"}
     assert {k: v["status"] for k, v in meta.items()} == {
-        "300_P": "success", "301_P": "partial", "302_P": "failed", "303_P": "partial"
+        "300_P": "success", "301_P": "partial", "302_P": "failed", "303_P": "partial",
+        "304_P": "failed",
     }
     assert meta["300_P"]["warnings"] == []
     assert (meta["300_P"]["visual_len"], meta["300_P"]["visual_dim"]) == (2, 49)
@@ -94,11 +96,66 @@ def test_extraction_of_good_and_damaged_archives(spark, tmp_path):
     frames = result.acoustic.where("participant = 300").orderBy("ts").collect()
     assert [(r["ts"], r["features"]) for r in frames] == [(0.0, [1.5]), (0.5, [2.5])]
     left = extraction.pending_archives(table, result.metadata)
-    assert {r["participant"] for r in left.collect()} == {301, 302, 303}
+    assert {r["participant"] for r in left.collect()} == {301, 302, 303, 304}
     listed = archives.list_members(archives.first_archives(table, 3)).collect()
     assert {r["archive"] for r in listed} == {"300_P.tar.gz", "301_P.tar.gz", "302_P.tar.gz"}
 
 
+def test_an_archive_is_inflated_once(tmp_path, monkeypatch):
+    names = {payload("visual", 320): "visual", payload("acoustic", 320): "acoustic"}
+    write_archive(tmp_path / "320_P.tar.gz", {payload("visual", 320): "a\nb", "x.txt": "x",
+                                              payload("acoustic", 320): "c", "after.txt": "y"})
+    opened, real = [], archives.open_sequential
+
+    def counting(path):
+        opened.append(path)
+        return real(path)
+
+    monkeypatch.setattr(archives, "open_sequential", counting)
+    found = list(archives._records(str(tmp_path / "320_P.tar.gz"), names))
+    assert found == [
+        ("line", "visual", 0, 0, "a"),
+        ("line", "visual", 0, 1, "b"),
+        ("whole", "visual", 0, 2, None),
+        ("line", "acoustic", 2, 0, "c"),
+        ("whole", "acoustic", 2, 1, None),
+    ]
+    assert len(opened) == 1
+
+
+def test_lines_of_a_member_cut_short_are_staged_but_not_given_out(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    text = "\n".join(["name;frameTime;loud", *[f"'f';{i / 10};{rng.normal()}" for i in range(40000)]])
+    write_archive(tmp_path / "330_P.tar.gz", {payload("acoustic", 330): text})
+    whole = (tmp_path / "330_P.tar.gz").read_bytes()
+    (tmp_path / "330_P.tar.gz").write_bytes(whole[: len(whole) // 2])
+    table = archives.archive_table(files.list_files(spark, str(tmp_path), "*.tar.gz"))
+    staged = archives.stage_payloads(table)
+    assert staged.where("record = 'line'").count() > 1000
+    assert staged.where("record = 'whole'").count() == 0
+    assert archives.payload_lines(staged).count() == 0
+    assert extraction.extract(table).acoustic.count() == 0
+    assert archives.read_payload_lines(table.limit(0)).count() == 0
+
+
+def test_listing_shows_empty_files_and_hides_what_spark_hides(spark, tmp_path):
+    for name, data in {"a.bin": b"xy", "b.bin": b"", "c.txt": b"z", "_d.bin": b"1", "s/t/e.bin": b"123",
+                       "_tmp/f.bin": b"1", "s/.h/g.bin": b"1"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    listed = files.list_files(spark, str(tmp_path), "*.bin").collect()
+    assert {(r["path"], r["length"]) for r in listed} == {
+        (f"file:{tmp_path}/{name}", size) for name, size in (("a.bin", 2), ("b.bin", 0), ("s/t/e.bin", 3))
+    }
+    spark_paths = {r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                   .option("pathGlobFilter", "*.bin").load(str(tmp_path)).select("path").collect()}
+    assert spark_paths == {r["path"] for r in listed if r["length"] > 0}
+    (tmp_path / "none").mkdir()
+    assert files.list_files(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(PySparkException):
+        files.list_files(spark, str(tmp_path / "absent")).count()
+
+
 def test_the_last_member_of_a_name_counts(spark, tmp_path):
     name = archives.PAYLOADS["acoustic"].format(pid=310)
     lines = {f"old/{name}": "name;frameTime;loud\n'f';0.0;1.5\n'f';1.0;1.5", f"new/{name}": "name;frameTime;loud\n'f';0.0;9.5"}
