@@ -1,11 +1,15 @@
 """Bigram language model in a log-frequency Bloom filter, dealt out by hash segment.
 
 An n-gram with quantised count level q is inserted q times, as (n-gram, 1) to (n-gram, q); its count is
-read back by asking for level 1, 2, ... until one is missing. Counting is exact: tasks count their own
-texts, sorted blocks of counts are shuffled by hash segment and merged. Every n-gram is kept, so the
-filter grows with the input. It is held as rows, one for each segment and kind, and their number grows so
-that each stays bounded. Slices of texts send their distinct n-grams to the segments and get the
-levels back in the same order, one byte each.
+read back by asking for level 1, 2, ... until one is missing. Tasks count their own texts, sorted blocks of
+counts are shuffled by hash segment and merged, and each segment builds its filter at once from its own
+inserts, so counts of pairs are never stored. Every n-gram is kept: the filter grows with the input. It
+is not broadcast, as nothing bounds its size; it is held as rows, one for each segment and kind, and their
+number grows so that each stays bounded. Slices of texts send their distinct n-grams to the
+segments and get the levels back in the same order, one byte each.
+
+Pairs are told apart by their segment and 40 more bits, tokens are counted by all 64. Sorted keys travel
+as differences, about three bytes each.
 
 The unigram base score is exact. Counts of frequent tokens are broadcast, up to a fixed number of
 them; the tokens of each text that are not among them meet the full table of counts in a join.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from seqloom.llm.common import slices
-from seqloom.session import stored
+from seqloom.session import release, stored
 
 #: Parts of ten that are held out, and the pseudo-count of the base score.
 HELD_OUT_OF = 10
@@ -38,7 +42,9 @@ STEP = math.sqrt(2.0)
 HASHES = 4
 BITS_PER_INSERT = 10
 #: Bytes of text for each hash segment; bounds the counts and the filter of a segment.
-SEGMENT_BYTES = 1 << 24
+SEGMENT_BYTES = 1 << 26
+#: Bytes of text in a slice, and the n-grams that are looked up at once.
+SLICE_BYTES, LOOKUP = 8_000_000, 1 << 20
 #: Bits of a hash that the filter leaves out; the other 40 are told apart within a segment.
 LEFT_OUT = np.uint64(24)
 #: Bound of the exact counts that are broadcast.
@@ -50,7 +56,8 @@ UNIGRAM, PAIR = 0, 1
 END = np.uint64(0x7E1D0F5A3C9B2E64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-_BLOCKS = "kind int, segment int, n_keys bigint, total bigint, keys binary, counts binary"
+_BLOCKS = "kind int, segment int, n bigint, keys binary, counts binary"
+_MODEL = "kind int, segment int, n_keys bigint, total bigint, keys binary, counts binary, bits binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,14 +68,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text closed by the end token; and where each text ends."""
-    hashes: list[int] = []
-    ends = []
-    digest, end = xxhash.xxh64_intdigest, int(END)
+    digest, end = xxhash.xxh64_intdigest, np.array([END])
+    parts, ends, size = [], [], 0
     for text in texts:
-        hashes.extend(map(digest, text.lower().split()))
-        hashes.append(end)
-        ends.append(len(hashes))
-    return np.array(hashes, np.uint64), np.array(ends, np.int64)
+        words = text.lower().split()
+        parts += [np.fromiter(map(digest, words), np.uint64, len(words)), end]
+        size += len(words) + 1
+        ends.append(size)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(ends, np.int64)
 
 
 def pairs_of(tokens: np.ndarray) -> np.ndarray:
@@ -82,32 +89,79 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(HELD_OUT_OF)) == 0
 
 
+def coded(keys: np.ndarray) -> bytes:
+    """Sorted keys of 40 bits as differences: their low three bytes plain, the others packed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    packer = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
+    low, high = (np.ascontiguousarray(steps[:, part].T).tobytes() for part in (slice(0, 3), slice(3, 5)))
+    return low + packer.compress(high) + packer.flush()
+
+
+def decoded(data: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :3] = np.frombuffer(data, np.uint8, 3 * n).reshape(3, n).T
+    steps[:, 3:5] = np.frombuffer(zlib.decompress(data[3 * n :]), np.uint8).reshape(2, n).T
+    return np.cumsum(steps.view(np.uint64)[:, 0], dtype=np.uint64)
+
+
+def _coded_counts(counts: np.ndarray) -> bytes:
+    """One byte for each count, packed; those of 255 and more in full before them."""
+    large = counts[counts >= 255].astype(np.uint64)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return len(large).to_bytes(8, "little") + large.tobytes() + zlib.compress(small.tobytes(), 1)
+
+
+def _decoded_counts(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    counts = np.frombuffer(zlib.decompress(data[8 + 8 * n :]), np.uint8).astype(np.uint64)
+    counts[counts == 255] = np.frombuffer(data, np.uint64, n, 8)
+    return counts
+
+
+def _dealt(keys: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by segment, in which they stay sorted; and where each segment ends in it."""
+    narrow = np.uint16 if n_segments <= 1 << 16 else np.uint32
+    segment = (keys % np.uint64(n_segments)).astype(narrow)
+    return np.argsort(segment, kind="stable"), np.cumsum(np.bincount(segment, minlength=n_segments))
+
+
 def _counted(tokens: list[np.ndarray], n_segments: int) -> Iterator[tuple]:
     joined = np.concatenate(tokens)
-    for kind, keys in ((UNIGRAM, joined), (PAIR, pairs_of(joined))):
-        keys, counts = np.unique(keys, return_counts=True)
-        segment = keys % np.uint64(n_segments)
-        order = np.argsort(segment, kind="stable")
-        keys, counts, segment = keys[order], counts[order].astype(np.uint32), segment[order]
-        borders = np.searchsorted(segment, np.arange(n_segments + 1, dtype=np.uint64))
-        for s in range(n_segments):
-            a, b = borders[s], borders[s + 1]
+    for kind in (UNIGRAM, PAIR):
+        keys, counts = np.unique(joined if kind == UNIGRAM else pairs_of(joined), return_counts=True)
+        order, ends = _dealt(keys, n_segments)
+        keys, counts = keys[order], counts[order]
+        for s, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())):
             if b > a:
-                yield kind, s, int(b - a), int(counts[a:b].sum()), keys[a:b].tobytes(), counts[a:b].tobytes()
+                data = keys[a:b].tobytes() if kind == UNIGRAM else coded(keys[a:b] >> LEFT_OUT)
+                yield kind, s, b - a, data, _coded_counts(counts[a:b])
 
 
-def _blocks(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows)) if rows else [()] * 6
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    fields = [field.split() for field in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, types)],
-        names=["kind", "segment", "n_keys", "total", "keys", "counts"],
+        [pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields]
     )
 
 
-def count_ngrams(texts: DataFrame, n_segments: int) -> DataFrame:
-    """Exact counts of all tokens and pairs, as one block of sorted hashes and counts for each kind and
-    segment. ``texts`` has one column, ``text``."""
+def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.add.reduceat(counts, starts)
+
+
+def _by_segment(rows: DataFrame, n_segments: int, *order: Column | str) -> DataFrame:
+    """Rows of a segment in one partition, sorted. Where segments outnumber the partitions by far, several share one."""
+    parts = min(n_segments, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartitionById(parts, F.pmod(F.col("segment"), F.lit(parts))).sortWithinPartitions("segment", *order)
+
+
+def learn(texts: DataFrame, n_segments: int) -> DataFrame:
+    """The model as rows, one for each kind and segment that has n-grams: how many, their total count and
+    their filter; those of tokens have the exact counts too. ``texts`` has one column, ``text``."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -116,39 +170,38 @@ def count_ngrams(texts: DataFrame, n_segments: int) -> DataFrame:
                 held.append(tokens_of(part)[0])
                 size += len(held[-1])
                 if size >= COUNT_TOKENS:
-                    yield _blocks(list(_counted(held, n_segments)))
+                    yield _batch(list(_counted(held, n_segments)), _BLOCKS)
                     held, size = [], 0
         if held:
-            yield _blocks(list(_counted(held, n_segments)))
+            yield _batch(list(_counted(held, n_segments)), _BLOCKS)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Blocks come sorted by kind and segment; one segment is held at a time.
+        # Blocks come sorted by segment and kind; one of them is held at a time.
         now, keys, counts = None, [], []
 
-        def merged() -> pa.RecordBatch:
-            all_keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-            all_counts = np.bincount(where, np.concatenate(counts)).astype(np.uint64)
-            return _blocks([(*now, len(all_keys), int(all_counts.sum()), all_keys.tobytes(), all_counts.tobytes())])
+        def model() -> pa.RecordBatch:
+            all_keys, all_counts = _merged(np.concatenate(keys), np.concatenate(counts))
+            exact = (None, None)
+            if now[0] == UNIGRAM:
+                exact = all_keys.tobytes(), all_counts.tobytes()
+            short = all_keys >> LEFT_OUT if now[0] == UNIGRAM else all_keys
+            row = (*now, len(all_keys), int(all_counts.sum()), *exact, filter_of(short, all_counts, now[0]))
+            return _batch([row], _MODEL)
 
         for batch in batches:
-            for kind, segment, k, c in zip(*(batch.column(n) for n in ("kind", "segment", "keys", "counts"))):
+            for kind, segment, n, k, c in zip(*(batch.column(i) for i in range(5))):
                 at = (kind.as_py(), segment.as_py())
                 if now is not None and at != now:
-                    yield merged()
+                    yield model()
                     keys, counts = [], []
                 now = at
-                keys.append(np.frombuffer(k.as_buffer(), np.uint64))
-                counts.append(np.frombuffer(c.as_buffer(), np.uint32))
+                data = k.as_py()
+                keys.append(np.frombuffer(data, np.uint64) if at[0] == UNIGRAM else decoded(data, n.as_py()))
+                counts.append(_decoded_counts(c.as_py()))
         if now is not None:
-            yield merged()
-
-    parts = max(1, n_segments // 4)
-    return (
-        texts.mapInArrow(local, _BLOCKS)
-        .repartition(parts, "segment")
-        .sortWithinPartitions("kind", "segment")
-        .mapInArrow(merge, _BLOCKS)
-    )
+            yield model()
+
+    return _by_segment(texts.mapInArrow(local, _BLOCKS), n_segments, "kind").mapInArrow(merge, _MODEL)
 
 
 def _levels(counts: np.ndarray, least: int) -> np.ndarray:
@@ -157,121 +210,51 @@ def _levels(counts: np.ndarray, least: int) -> np.ndarray:
     return np.where(ratio >= 1, 1 + np.floor(np.log(np.maximum(ratio, 1.0)) / math.log(STEP) + 1e-9), 0).astype(np.int64)
 
 
-def _histogram(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each kind, how many n-grams have a count of at least 1, 2, 4, ... and the inserts they need."""
+def _positions(keys: np.ndarray, kind: int, level: int, hash_no: int, n_bits: int) -> np.ndarray:
+    seed = (kind * 7919 + hash_no * 104729 + level * 15485863) * int(_M2) % (1 << 64)
+    return (_mixed(keys + np.uint64(seed)) % np.uint64(n_bits)).astype(np.int64)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, powers, grams, inserts = [], [], [], []
-            for kind, c in zip(batch.column(0), batch.column(1)):
-                counts = np.frombuffer(c.as_buffer(), np.uint64)
-                levels = _levels(counts, 1)
-                size = np.frexp(counts.astype(np.float64))[1] - 1
-                kinds += [kind.as_py()] * 48
-                powers += range(48)
-                grams += np.bincount(size, minlength=48)[:48].tolist()
-                inserts += np.bincount(size, levels, minlength=48)[:48].astype(int).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), pa.array(powers, pa.int32()), pa.array(grams, pa.int64()), pa.array(inserts, pa.int64())],
-                names=["kind", "power", "grams", "inserts"],
-            )
-
-    found = (
-        blocks.select("kind", "counts")
-        .mapInArrow(local, "kind int, power int, grams bigint, inserts bigint")
-        .groupBy("kind", "power")
-        .agg(F.sum("grams").alias("grams"), F.sum("inserts").alias("inserts"))
-        .collect()  # 96 rows at most
-    )
-    grams, inserts = np.zeros((2, 48), np.int64), np.zeros((2, 48), np.int64)
-    for row in found:
-        grams[row["kind"], row["power"]] = row["grams"]
-        inserts[row["kind"], row["power"]] = row["inserts"]
-    return grams[:, ::-1].cumsum(axis=1)[:, ::-1], inserts[:, ::-1].cumsum(axis=1)[:, ::-1]
 
-
-def _positions(keys: np.ndarray, kind: int, level, hash_no: int, segment_bits: int) -> np.ndarray:
-    seed = np.uint64(kind * 7919 + hash_no * 104729) + np.asarray(level, np.uint64) * np.uint64(15485863)
-    return (_mixed(keys + seed * _M2) % np.uint64(segment_bits)).astype(np.int64)
-
-
-class Filter:
-    """Reads counts back from the filter's bits."""
-
-    def __init__(self, bits: bytes, n_segments: int, segment_bits: int, least: tuple[int, int]):
-        self.bits = np.frombuffer(bits, np.uint8)
-        self.n_segments, self.segment_bits, self.least = n_segments, segment_bits, least
-
-    def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """The quantised level of each key's count; 0 for those not found."""
-        base = (keys % np.uint64(self.n_segments)).astype(np.int64) * self.segment_bits
-        return self.short_levels(keys >> LEFT_OUT, kind, base)
-
-    def short_levels(self, keys: np.ndarray, kind: int, base: np.ndarray) -> np.ndarray:
-        """The same of hashes without the bits left out, whose segments begin at ``base``."""
-        level = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
+def filter_of(keys: np.ndarray, counts: np.ndarray, kind: int) -> bytes:
+    """The filter of keys (hashes without the bits left out) with these counts, sized by their inserts."""
+    levels = _levels(counts, 1)
+    n_bits = max(64, -(-int(levels.sum()) * BITS_PER_INSERT // 64) * 64)
+    bits = np.zeros(n_bits, np.bool_)
+    q = 1
+    while len(keys):
+        for start in range(0, len(keys), LOOKUP):
+            for i in range(HASHES):
+                bits[_positions(keys[start : start + LOOKUP], kind, q, i, n_bits)] = True
+        q += 1
+        keys, levels = keys[levels >= q], levels[levels >= q]
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def levels_in(bits: bytes, keys: np.ndarray, kind: int) -> np.ndarray:
+    """The quantised level (a byte) of each key's count as the filter has it; 0 for those not found."""
+    held, n_bits = np.frombuffer(bits, np.uint8), 8 * len(bits)
+    level = np.zeros(len(keys), np.uint8)
+    for start in range(0, len(keys) if n_bits else 0, LOOKUP):
+        part, found = keys[start : start + LOOKUP], level[start : start + LOOKUP]
+        alive = np.arange(len(part))
         for q in range(1, 130):
             for i in range(HASHES):
-                at = base[alive] + _positions(keys[alive], kind, q, i, self.segment_bits)
-                alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+                at = _positions(part[alive], kind, q, i, n_bits)
+                alive = alive[(held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
                 if not len(alive):
                     break
             if not len(alive):
                 break
-            level[alive] = q
-        return level
-
-    def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """The middle of each key's quantised count; 0 for those not found."""
-        return _middle(self.levels(keys, kind), self.least[kind])
+            found[alive] = q
+    return level
 
 
 def _middle(level: np.ndarray, least: int = 1) -> np.ndarray:
+    """The middle of the counts that have this level."""
     low = least * STEP ** (level - 1.0)
     return np.where(level == 0, 0.0, np.where(low * STEP < least + 1, least, low * math.sqrt(STEP)))
 
 
-def _filter_rows(blocks: DataFrame, n_segments: int, inserts: np.ndarray) -> tuple[DataFrame, int]:
-    """Rows (segment, kind, bits), of which those of a segment make up its filter, and a segment's bits."""
-    needed = int(inserts[:, 0].sum()) * BITS_PER_INSERT
-    segment_bits = max(64, -(-needed // n_segments // 64) * 64)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            segments, kinds, parts = [], [], []
-            for kind, segment, k, c in zip(*(batch.column(n) for n in ("kind", "segment", "keys", "counts"))):
-                keys, counts = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint64)
-                keys, levels = keys >> LEFT_OUT, _levels(counts, 1)
-                bits = np.zeros(segment_bits, np.uint8)
-                q = 1
-                while len(keys := keys[levels >= q]):
-                    levels = levels[levels >= q]
-                    for i in range(HASHES):
-                        bits[_positions(keys, kind.as_py(), q, i, segment_bits)] = 1
-                    q += 1
-                segments.append(segment.as_py())
-                kinds.append(kind.as_py())
-                parts.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(segments, pa.int32()), pa.array(kinds, pa.int32()), pa.array(parts, pa.binary())],
-                names=["segment", "kind", "bits"],
-            )
-
-    rows = blocks.select("kind", "segment", "keys", "counts").mapInArrow(local, "segment int, kind int, bits binary")
-    return rows, segment_bits
-
-
-def _build_filter(blocks: DataFrame, n_segments: int, inserts: np.ndarray) -> tuple[bytes, int, tuple[int, int]]:
-    """The whole filter of a small model in one piece, its bits in a segment and the least counts in it."""
-    rows, segment_bits = _filter_rows(blocks, n_segments, inserts)
-    whole = np.zeros(n_segments * segment_bits // 8, np.uint8)
-    for row in rows.collect():
-        at = row["segment"] * segment_bits // 8
-        whole[at : at + segment_bits // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return whole.tobytes(), segment_bits, (1, 1)
-
-
 def _sliced(rows: DataFrame) -> DataFrame:
     """Slices of the rows (id, version, held_out, text): their columns without the text as arrays, where each
     text ends, the distinct tokens and the place of each token among them (compressed). Stored, as slices are named at random."""
@@ -282,7 +265,7 @@ def _sliced(rows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in slices(batch.column(batch.num_columns - 1)):
+            for part in slices(batch.column(batch.num_columns - 1), SLICE_BYTES):
                 tokens, ends = tokens_of(part)
                 distinct, places = np.unique(tokens, return_inverse=True)
                 offsets = pa.array([0, len(part)], pa.int32())
@@ -306,7 +289,11 @@ def _distinct_grams(tokens: bytes, places: bytes) -> tuple[np.ndarray, np.ndarra
     return distinct, at, *np.unique(pairs_of(distinct[at]), return_inverse=True)
 
 
-def _levels_of(sliced: DataFrame, model: DataFrame, n_segments: int, segment_bits: int) -> DataFrame:
+_ASKED = "segment int, kind int, slice string, n bigint, data binary"
+_ANSWERED = "slice string, kind int, segment int, levels binary"
+
+
+def _levels_of(sliced: DataFrame, model: DataFrame, n_segments: int) -> DataFrame:
     """Rows (slice, kind, segment, levels): one byte for each of the slice's distinct n-grams of the segment."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,69 +301,79 @@ def _levels_of(sliced: DataFrame, model: DataFrame, n_segments: int, segment_bit
             for name, tokens, places in zip(*(batch.column(c) for c in ("slice", "tokens", "places"))):
                 words, _, pairs, _ = _distinct_grams(tokens.as_py(), places.as_py())
                 for kind, keys in ((UNIGRAM, words), (PAIR, pairs)):
-                    segment = keys % np.uint64(n_segments)
-                    keys = keys[np.argsort(segment, kind="stable")]
-                    sizes = np.bincount(segment.astype(np.int64), minlength=n_segments)
-                    ends = np.cumsum(sizes)
-                    asked = np.flatnonzero(sizes).tolist()
-                    short = (keys >> LEFT_OUT).view(np.uint8).reshape(-1, 8)[:, :5]
-                    parts = [short[ends[s] - sizes[s] : ends[s]].tobytes() for s in asked]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(asked, pa.int32()),
-                            pa.array([kind] * len(asked), pa.int32()),
-                            pa.array([name.as_py()] * len(asked), pa.string()),
-                            pa.array(parts, pa.binary()),
-                        ],
-                        names=["segment", "kind", "slice", "data"],
-                    )
+                    order, ends = _dealt(keys, n_segments)
+                    short = (keys >> LEFT_OUT)[order]
+                    borders = zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())
+                    rows = [
+                        (s, kind, name.as_py(), b - a, coded(short[a:b])) for s, (a, b) in enumerate(borders) if b > a
+                    ]
+                    yield _batch(rows, _ASKED)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The bits of a segment come before what is asked of it; one segment is held at a time.
-        now, lookup = None, None
+        # The filters of a segment come before what is asked of it; one segment is held at a time.
+        now, filters, asked, size = None, {}, {}, 0
+
+        def answers() -> pa.RecordBatch:
+            rows = []
+            for kind, questions in asked.items():
+                keys = np.concatenate([k for _, k in questions])
+                found = levels_in(filters.get(kind, b""), keys, kind)
+                at = 0
+                for name, k in questions:
+                    rows.append((name, kind, now, zlib.compress(found[at : at + len(k)].tobytes(), 1)))
+                    at += len(k)
+            return _batch(rows, _ANSWERED)
+
         for batch in batches:
-            names, kinds, segments, found = [], [], [], []
-            for segment, kind, name, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for segment, kind, name, n, data in zip(*batch.columns):
+                segment, kind, name = segment.as_py(), kind.as_py(), name.as_py()
                 if segment != now:
-                    now, lookup = segment, Filter(bytes(segment_bits // 8), 1, segment_bits, (1, 1))
+                    if asked:
+                        yield answers()
+                    now, filters, asked, size = segment, {}, {}, 0
                 if name is None:
-                    lookup.bits = lookup.bits | np.frombuffer(data, np.uint8)
+                    filters[kind] = data.as_py()
                     continue
-                names.append(name)
-                kinds.append(kind)
-                segments.append(segment)
-                keys = np.zeros((len(data) // 5, 8), np.uint8)
-                keys[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-                keys = keys.view(np.uint64)[:, 0]
-                found.append(lookup.short_levels(keys, kind, np.zeros(len(keys), np.int64)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array(kinds, pa.int32()), pa.array(segments, pa.int32()), pa.array(found, pa.binary())],
-                names=["slice", "kind", "segment", "levels"],
-            )
-
-    asked = sliced.select("slice", "tokens", "places").mapInArrow(ask, "segment int, kind int, slice string, data binary")
-    bits = model.select("segment", "kind", F.lit(None).cast("string").alias("slice"), F.col("bits").alias("data"))
-    return (
-        bits.unionByName(asked)
-        .repartition(max(1, n_segments // 4), "segment")
-        .sortWithinPartitions("segment", F.col("slice").asc_nulls_first())
-        .mapInArrow(answer, "slice string, kind int, segment int, levels binary")
+                asked.setdefault(kind, []).append((name, decoded(data.as_py(), n.as_py())))
+                size += n.as_py()
+                if size >= LOOKUP:
+                    yield answers()
+                    asked, size = {}, 0
+        if asked:
+            yield answers()
+
+    questions = sliced.select("slice", "tokens", "places").mapInArrow(ask, _ASKED)
+    bits = model.select(
+        "segment", "kind", F.lit(None).cast("string").alias("slice"), F.lit(0).cast("long").alias("n"), F.col("bits").alias("data")
+    )
+    return _by_segment(bits.unionByName(questions), n_segments, F.col("slice").asc_nulls_first()).mapInArrow(
+        answer, _ANSWERED
     )
 
 
-def _rows_of_blocks(blocks: DataFrame, least: int = 1) -> DataFrame:
-    """Tokens as rows (token, n) whose count is at least ``least``."""
+def _token_counts(model: DataFrame) -> DataFrame:
+    """The exact counts of tokens as rows (token, n)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column(0), batch.column(1)):
-                keys, counts = np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)
-                often = counts >= least
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[often]), pa.array(counts[often])], names=["token", "n"]
-                )
+                keys, counts = (np.frombuffer(x.as_buffer(), np.int64) for x in (k, c))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["token", "n"])
+
+    return model.filter(F.col("kind") == UNIGRAM).select("keys", "counts").mapInArrow(local, "token bigint, n bigint")
+
 
-    return blocks.filter(F.col("kind") == UNIGRAM).select("keys", "counts").mapInArrow(local, "token bigint, n bigint")
+def _head(counts: DataFrame) -> DataFrame:
+    """The most frequent tokens, all from some power of two on, at most ``MAX_HEAD`` of them."""
+    power = F.length(F.bin("n")) - 1
+    sizes = counts.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()  # 64 rows at most
+    least, size = 1 << 62, 0
+    for row in sizes:
+        size += row["count"]
+        if size > MAX_HEAD:
+            break
+        least = 1 << row["power"]
+    return counts.filter(F.col("n") >= least)
 
 
 _SCORED = StructType(
@@ -407,31 +404,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ).select("id", held_out(F.col("id")).alias("held_out"), "text")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    n_segments = max(4 * max(8, n_parts), -(-n_bytes // SEGMENT_BYTES))
-    blocks = stored(count_ngrams(rows.filter("NOT held_out").select("text"), n_segments), "ngrams")
+    n_segments = max(8, n_parts, -(-n_bytes // SEGMENT_BYTES))
+    model = stored(learn(rows.filter("NOT held_out").select("text"), n_segments), "model")
     totals = (
-        blocks.filter(F.col("kind") == UNIGRAM)
+        model.filter(F.col("kind") == UNIGRAM)
         .agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_keys"), F.lit(0)).alias("v"))
         .first()
     )
     n_train, n_distinct = totals["n"], totals["v"]
-    grams, inserts = _histogram(blocks)
-    filter_rows, segment_bits = _filter_rows(blocks, n_segments, inserts)
-    head_power = int(np.argmax(grams[UNIGRAM] <= MAX_HEAD))
-    head = _rows_of_blocks(blocks, 1 << head_power).toPandas().sort_values("token")
+    head = _head(_token_counts(model)).toPandas().sort_values("token")
     head_tokens = head["token"].to_numpy(np.int64)
     head_counts = head["n"].to_numpy(np.int64)
-    model = spark.sparkContext.broadcast((head_tokens, head_counts))
+    exact_head = spark.sparkContext.broadcast((head_tokens, head_counts))
     whole = math.log10(n_train + ALPHA * (n_distinct + 1))
 
     def scored(row: dict, levels: dict[int, np.ndarray]) -> pa.StructArray:
-        head_tokens, head_counts = model.value
+        head_tokens, head_counts = exact_head.value
         distinct, where, pairs, pair_where = _distinct_grams(row["tokens"], row["places"])
         tokens, ends = distinct[where], np.frombuffer(row["ends"], np.int64)
         read, pair_read = np.zeros(len(distinct)), np.zeros(len(pairs))
         # The answers are in the order of the segments, as the questions were.
-        read[np.argsort(distinct % np.uint64(n_segments), kind="stable")] = _middle(levels[UNIGRAM])
-        pair_read[np.argsort(pairs % np.uint64(n_segments), kind="stable")] = _middle(levels[PAIR])
+        read[_dealt(distinct, n_segments)[0]] = _middle(levels[UNIGRAM])
+        pair_read[_dealt(pairs, n_segments)[0]] = _middle(levels[PAIR])
         signed = distinct.view(np.int64)
         at = np.minimum(np.searchsorted(head_tokens, signed), max(0, len(head_tokens) - 1))
         in_head = head_tokens[at] == signed if len(head_tokens) else np.zeros(len(signed), bool)
@@ -474,7 +468,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i in range(batch.num_rows):
                 kind = batch.column("kind")[i].as_py()
                 if kind >= 0:
-                    held[kind].append(batch.column("levels")[i].as_py())
+                    held[kind].append(zlib.decompress(batch.column("levels")[i].as_py()))
                     continue
                 if row is not None:
                     yield result()
@@ -485,24 +479,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield result()
 
     id_type = rows.schema["id"].dataType.simpleString()
-    sliced = _sliced(rows.select("id", F.hash("text").alias("version"), "held_out", "text"))
-    answers = _levels_of(sliced, stored(filter_rows, "filter"), n_segments, segment_bits)
+    sliced = _sliced(rows.select("id", F.xxhash64("text").alias("version"), "held_out", "text"))
+    answers = _levels_of(sliced, model, n_segments)
     own = sliced.withColumns({"kind": F.lit(-1), "segment": F.lit(-1)})
     first = stored(
         own.unionByName(answers, allowMissingColumns=True)
         .repartition(n_parts, "slice")
         .sortWithinPartitions("slice", "kind", "segment")
-        .mapInArrow(score, f"id {id_type}, version int, held_out boolean, s {_SCORED.simpleString()}")
+        .mapInArrow(score, f"id {id_type}, version bigint, held_out boolean, s {_SCORED.simpleString()}")
         .select("id", "version", "held_out", "s.*"),
         "scored",
     )
+    release(sliced)
     asked = (
         first.filter(F.size("rest") > 0)
         .dropDuplicates(["id", "version"])
         .select("id", "version", F.explode("rest").alias("token"))
     )
     found = (
-        asked.join(_rows_of_blocks(blocks), "token")
+        asked.join(_token_counts(model), "token")
         .groupBy(F.col("id").alias("asked_id"), F.col("version").alias("asked_version"))
         .agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + ALPHA)).alias("more_base"))
     )

@@ -198,18 +198,26 @@ def test_model_beats_the_base_on_held_out_texts(make_docs):
     assert len(got) > 10 and all(r["score"] > r["base_score"] for r in got)
 
 
-def test_filter_reads_counts_back(spark):
+def test_filter_reads_counts_back():
     keys = np.random.default_rng(3).integers(0, 1 << 63, 4000).astype(np.uint64)
     counts = np.random.default_rng(4).integers(1, 5000, 4000).astype(np.uint64)
-    rows = [(lm.UNIGRAM, s, 0, 0, keys[keys % 8 == s].tobytes(), counts[keys % 8 == s].tobytes()) for s in range(8)]
-    blocks = spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in r) for r in rows], lm._BLOCKS)
-    _, inserts = lm._histogram(blocks)
-    bits, segment_bits, least = lm._build_filter(blocks, 8, inserts)
-    read = lm.Filter(bits, 8, segment_bits, least).counts(keys, lm.UNIGRAM)
+    bits = lm.filter_of(keys >> lm.LEFT_OUT, counts, lm.UNIGRAM)
+    read = lm._middle(lm.levels_in(bits, keys >> lm.LEFT_OUT, lm.UNIGRAM))
     # False positives only ever raise a level, and seldom.
     assert (read >= counts / 1.25).all() and (read <= counts * 1.25 + 1).mean() > 0.95
-    other = np.random.default_rng(5).integers(0, 1 << 63, 4000).astype(np.uint64)
-    assert (lm.Filter(bits, 8, segment_bits, least).counts(other, lm.UNIGRAM) > 0).mean() < 0.05
+    other = np.random.default_rng(5).integers(0, 1 << 63, 4000).astype(np.uint64) >> lm.LEFT_OUT
+    assert (lm.levels_in(bits, other, lm.UNIGRAM) > 0).mean() < 0.05
+    assert not lm.levels_in(b"", other, lm.PAIR).any()
+
+
+def test_keys_and_counts_come_back_from_their_short_form():
+    rnd = np.random.default_rng(6)
+    for n in (0, 1, 5000):
+        keys = np.sort(rnd.integers(0, 1 << 40, n).astype(np.uint64))
+        keys[: n // 10] = keys[0] if n else 0
+        assert (lm.decoded(lm.coded(keys), n) == keys).all()
+        counts = np.r_[np.ones(n, np.int64), [254, 255, 256, 1 << 40]]
+        assert (lm._decoded_counts(lm._coded_counts(counts)) == counts).all()
 
 
 def test_leaks_match_brute_force(spark, make_docs, monkeypatch):
