@@ -1,24 +1,29 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND.
 
-Spark builds the index of the items. It is broadcast in blocks of a bounded number of items, and each
-passage of every document is a query against each block: overlapping passages twice as long as the
-longest item, so that any place an item could stand lies whole in one of them. Scores are BM25
-impacts over the item's own score, which makes one threshold do for all items. All items at or above it are
-retrieved and then verified by the overlap of their word shingles, question and answer apart.
+Spark builds the index of the items and stores it. It is broadcast block by block, each of a bounded number
+of items and words, and each passage of every document is a query against it: overlapping passages twice
+as long as the longest item of about that length, so that any place an item could stand lies whole in one
+of them. Scores are BM25 impacts over the item's own score, which makes one threshold do for all items.
+All items at or above it are retrieved and then verified by their word shingles: question and
+answer each, or the whole item with some of the words of both. Where there are several blocks, each is one
+pass whose outcome is written, and its broadcast is given up before the next.
 """
 
 from __future__ import annotations
 
 import math
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from seqloom.llm.common import ascii_lower, slices, words
+from seqloom.session import release, stored
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach to retrieve it.
@@ -26,10 +31,14 @@ MIN_SCORE = 0.6
 #: Words of a shingle, and the share of an item's shingles that must be found.
 SHINGLE = 5
 MIN_OVERLAP = 0.8
-#: Items of fewer words are too short to tell from chance and never match.
+#: Share of the distinct words of question and answer each that must be there if the whole item decides.
+MIN_PART = 0.6
+#: Items of fewer words match as an exact run of words only.
 MIN_WORDS = 5
-#: Items in a block of the index; bounds what is broadcast at once.
-BLOCK_ITEMS = 20_000
+#: Items in a block of the index, and words in all of them; bounds what is broadcast at once.
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
+#: Items of up to so many words share passages of one length; longer ones go by factors of four.
+SHORT = 64
 #: Postings that share one maximum.
 POSTINGS_BLOCK = 64
 
@@ -49,11 +58,11 @@ _HIT = StructType(
 
 def item_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row per item: ``item``, ``text``, ``words`` and ``impacts``, each distinct word with its share of the
-    item's BM25 score against itself. Items without an id or of under ``MIN_WORDS`` words have none;
-    rows that repeat id and text are one."""
+    item's BM25 score against itself. Items without an id or without words have none; rows that repeat
+    id and text are one."""
     tokenized = (
         items.select(items[f"`{id_col}`"].cast("long").alias("item"), words(ascii_lower(F.regexp_replace(items[f"`{text_col}`"], f"[{SIGNS}]", " "))).alias("words"))
-        .filter(F.col("item").isNotNull() & (F.size("words") >= MIN_WORDS))
+        .filter(F.col("item").isNotNull() & (F.size("words") > 0))
         .distinct()
     )
     sized = tokenized.select("item", "words", F.size("words").alias("length"))
@@ -77,18 +86,18 @@ def item_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 class Block:
-    """A block of the inverted index, for the workers: postings in item order, with block maxima."""
+    """Items of about one length in an inverted index, for the workers: postings in item order, with block maxima."""
 
     def __init__(self, rows: list[tuple[int, list[str], list[tuple[str, float]]]]):
         rows = sorted(rows, key=lambda r: (r[0], r[1]))
         self.item_ids = [r[0] for r in rows]
         self.longest = max(len(r[1]) for r in rows)
         postings: dict[bytes, list[tuple[int, float]]] = {}
-        self.shingles: list[tuple[list[bytes], list[bytes]]] = []
+        self.wanted: list[Wanted] = []
         for i, (_, item_words, impacts) in enumerate(rows):
             for term, impact in impacts:
                 postings.setdefault(term.encode(), []).append((i, impact))
-            self.shingles.append(split_shingles([w.encode() for w in item_words]))
+            self.wanted.append(Wanted([w.encode() for w in item_words]))
         self.terms = {term: n for n, term in enumerate(postings)}
         self.items = [np.array([p[0] for p in plist]) for plist in postings.values()]
         self.impacts = [np.array([p[1] for p in plist]) for plist in postings.values()]
@@ -174,11 +183,10 @@ class Block:
         out[keys[enough] // len(self.item_ids)] = True
         return out
 
-    def hits(self, texts: list[bytes]) -> list[list[tuple[int, float, float, float]]]:
-        """Verified items of each text: (id, best score, question overlap, answer overlap)."""
-        out: list[list] = [[] for _ in texts]
+    def find(self, docs: list[list[bytes]], best: dict[tuple[int, int], tuple]) -> None:
+        """Puts the verified items of each document, given as its words, into ``best`` by (document, item id):
+        the best score and with it the overlaps of question and answer."""
         step = self.longest
-        docs = [words_of(text) for text in texts]
         lengths = np.array([len(d) for d in docs])
         known = self.terms
         ids = np.fromiter((known.get(w, -1) for d in docs for w in d), np.int64, int(lengths.sum()))
@@ -200,7 +208,6 @@ class Block:
         likely = whole >= MIN_SCORE - 1e-9
         if self.common_mass.max() < MIN_SCORE:
             likely &= self._reachable(half_of, term_of, owner)
-        best: dict[tuple[int, int], tuple] = {}
         for h in np.flatnonzero(likely).tolist():
             d = int(owner[h])
             same = h + 1 < n_halves and owner[h + 1] == d
@@ -214,12 +221,59 @@ class Block:
             passage = docs[d][start : start + 2 * step]
             grams: dict[int, set] = {}
             for item, score in found:
-                question, answer = self.shingles[item]
-                q, a = overlap(question, passage, grams), overlap(answer, passage, grams)
-                if q >= MIN_OVERLAP and a >= MIN_OVERLAP:
+                ok, q, a = self.wanted[item].judged(passage, grams)
+                if ok:
                     key = (d, self.item_ids[item])
                     if key not in best or best[key] < (score, q, a):
                         best[key] = (score, q, a)
+
+
+class Wanted:
+    """What of an item must be found in a passage."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        cut = len(words) - math.ceil(len(words) / 4)
+        parts = words[:cut], words[cut:]
+        self.shingles = [shingles(part) for part in parts]
+        self.distinct = [list(set(part)) for part in parts]
+
+    def judged(self, passage: list[bytes], grams: dict[int, set]) -> tuple[bool, float, float]:
+        """Whether the passage holds the item, and the shares of the shingles of question and answer it has.
+
+        The question is the first three quarters of the words, the answer the rest. An edit may spoil most
+        shingles of a short answer, so the item also counts as found if enough shingles of the whole are
+        there and enough words of both parts.
+        """
+        q, a = (overlap(part, passage, grams) for part in self.shingles)
+        if len(self.words) < MIN_WORDS:
+            return overlap(shingles(self.words), passage, grams) == 1, q, a
+        if min(q, a) >= MIN_OVERLAP:
+            return True, q, a
+        if min(overlap(part, passage, grams) for part in self.distinct) < MIN_PART:
+            return False, q, a
+        return overlap(shingles(self.words), passage, grams) >= MIN_OVERLAP, q, a
+
+
+class Index:
+    """A block of the index as one part for each class of lengths, so that one long item costs the others nothing."""
+
+    def __init__(self, rows: list[tuple[int, list[str], list[tuple[str, float]]]]):
+        classes: dict[int, list] = {}
+        for row in rows:
+            size = SHORT
+            while size < len(row[1]):
+                size *= 4
+            classes.setdefault(size, []).append(row)
+        self.parts = [Block(classes[size]) for size in sorted(classes)]
+
+    def hits(self, texts: list[bytes]) -> list[list[tuple[int, float, float, float]]]:
+        """Verified items of each text: (id, best score, question overlap, answer overlap)."""
+        docs = [words_of(text) for text in texts]
+        best: dict[tuple[int, int], tuple] = {}
+        for part in self.parts:
+            part.find(docs, best)
+        out: list[list] = [[] for _ in texts]
         for (d, item), values in best.items():
             out[d].append((item, *values))
         return out
@@ -229,12 +283,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_BLANKED).split()
 
 
-def split_shingles(item: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """The words of the question (the first three quarters) and of the answer (the rest) as shingles."""
-    cut = len(item) - math.ceil(len(item) / 4)
-    return shingles(item[:cut]), shingles(item[cut:])
-
-
 def shingles(part: list[bytes], size: int = SHINGLE) -> list[bytes]:
     size = min(size, len(part))
     return [b" ".join(part[i : i + size]) for i in range(len(part) - size + 1)] if part else []
@@ -250,25 +298,17 @@ def overlap(wanted: list[bytes], passage: list[bytes], grams: dict[int, set]) ->
     return sum(w in grams[size] for w in wanted) / len(wanted)
 
 
-def leaks(items: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text") -> Column:
-    """The items each text leaks, as an array of (item_id, score, question_overlap, answer_overlap).
-
-    Words are runs of other than white space and ASCII signs, A-Z lower-cased. Every passage of the whole text is tried; of
-    several passages with one item the best score counts. A null text leaks nothing. The index is
-    broadcast in blocks of ``BLOCK_ITEMS`` items, so its size at once is bounded and each block adds its
-    own hits.
-    """
-    spark = items.sparkSession
-    index = item_index(items, id_col, text_col)
-    n_blocks = max(1, -(-index.count() // BLOCK_ITEMS))
-    out = None
-    for b in range(n_blocks):
-        part = index if n_blocks == 1 else index.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b)
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The broadcast blocks of the index, one at a time, and whether it is the only one. Rows of an item share a block."""
+    index = stored(item_index(items, id_col, text_col), "bm25-index")
+    size = index.agg(F.count("*").alias("items"), F.sum(F.size("words").cast("long")).alias("words")).first()
+    n = max(1, -(-size["items"] // BLOCK_ITEMS), -(-(size["words"] or 0) // BLOCK_WORDS))
+    for b in range(n):
+        part = index if n == 1 else index.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == b)
         rows = [(r["item"], r["words"], [tuple(x) for x in r["impacts"]]) for r in part.collect()]
         if rows:
-            found = _leaks_of(spark.sparkContext.broadcast(Block(rows)))(text)
-            out = found if out is None else F.concat(out, found)
-    return out if out is not None else F.array().cast(ArrayType(_HIT))
+            yield items.sparkSession.sparkContext.broadcast(Index(rows)), n == 1
+    release(index)
 
 
 def _leaks_of(block):
@@ -286,12 +326,34 @@ def _leaks_of(block):
     return found
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs`` and item it leaks: id, item_id, score and both overlaps."""
-    found = leaks(items, docs[f"`{text_col}`"].cast("string"))
-    return docs.select(docs[f"`{id_col}`"].alias(id_col), F.inline(found))
+def contaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+) -> DataFrame:
+    """One row for each row of ``docs`` and item it leaks: id, item_id, score and both overlaps.
+
+    Words are runs of other than white space and ASCII signs, A-Z lower-cased. Every passage of the whole
+    text is tried; of several passages with one item the best score counts. Null and empty texts leak
+    nothing, items without id or words are not leaked, and without items there are no rows. Items of under
+    ``MIN_WORDS`` words are leaked by an exact run of their words.
+    """
+    text = docs[f"`{text_col}`"].cast("string")
+    found = None
+    for block, only in _blocks(items, item_col, "text"):
+        hits = docs.select(docs[f"`{id_col}`"].alias(id_col), F.inline(_leaks_of(block)(text)))
+        if not only:
+            hits = stored(hits, "leaks")
+            block.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return docs.select(docs[f"`{id_col}`"].alias(id_col), F.inline(F.array().cast(ArrayType(_HIT))))
+    return found
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that leak no item, with their own columns; no shuffle."""
-    return docs.filter(F.size(leaks(items, docs[f"`{text_col}`"].cast("string"))) == 0)
+    """The documents that leak no item, with their own columns; no shuffle. Each block sees what the one before has left."""
+    for block, only in _blocks(items, "item_id", "text"):
+        docs = docs.filter(F.size(_leaks_of(block)(docs[f"`{text_col}`"].cast("string"))) == 0)
+        if not only:
+            docs = stored(docs, "clean")
+            block.unpersist()
+    return docs

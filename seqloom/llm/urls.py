@@ -31,6 +31,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def canonical(url: Column) -> tuple[Column, Column]:
+    """Host and path with query under which URLs are listed: the scheme, its default port, the host's
+    trailing dot and the fragment are left out, an empty path is ``/``."""
+    scheme = ascii_lower(F.coalesce(F.regexp_extract(url, "^([^:/?#]*)://", 1), F.lit("")))
+    host = host_of(url)
+    default = ((scheme == "http") & host.endswith(":80")) | ((scheme == "https") & host.endswith(":443"))
+    host = F.regexp_replace(F.when(default, F.regexp_replace(host, ":[0-9]+$", "")).otherwise(host), ":$", "")
+    tail = F.coalesce(F.regexp_extract(url, "://[^/?#]*([^#]*)", 1), F.lit(""))
+    return (
+        F.regexp_replace(host, "\\.(:[0-9]+)?$", "$1"),
+        F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail)),
+    )
+
+
 def _key(kind: Column, host: Column, path: Column) -> Column:
     return F.xxhash64(kind, host, path)
 
@@ -77,8 +91,8 @@ def _entries(rules: DataFrame, listed: DataFrame | None) -> DataFrame:
         out = out.unionByName(
             listed.select(
                 F.lit("listed").alias("kind"),
-                host_of(F.col("url")).alias("host"),
-                path_of(F.col("url")).alias("path"),
+                canonical(F.col("url"))[0].alias("host"),
+                canonical(F.col("url"))[1].alias("path"),
                 F.lit(None).cast("string").alias("rule"),
                 F.lit("block").alias("verdict"),
             ).filter("host <> ''")
@@ -102,8 +116,8 @@ def judge_urls(
 
     ``rules`` has host, path, rule and verdict ("allow" or "block"): a rule fits its host and all
     subdomains if the URL's path starts with the rule's. The longest host and path win, among
-    equally long ones the longer host. Where no rule fits, a URL of ``listed`` (url; compared by
-    host and path) is blocked and any other allowed. A null URL, or one without ``://``, has an empty
+    equally long ones the longer host. Where no rule fits, a URL of ``listed`` (url; compared in its
+    canonical form with the query) is blocked and any other allowed. A null URL, or one without ``://``, has an empty
     host and path, which no entry fits: allowed. Repeated rows each keep their row; ids may be null.
 
     Equal URLs are judged once. A host that holds a third of the pages therefore spreads over all
@@ -122,9 +136,16 @@ def judge_urls(
         blocks = F.broadcast(blocks)
 
     rows = pages.select(pages[f"`{id_col}`"].alias("id"), pages[f"`{url_col}`"].cast("string").alias("url")).select(
-        "id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
+        "id",
+        host_of(F.col("url")).alias("host"),
+        path_of(F.col("url")).alias("path"),
+        *[
+            (F.lit("") if listed is None else part).alias(name)
+            for name, part in zip(("listed_host", "listed_path"), canonical(F.col("url")))
+        ],
     )
-    urls = rows.select("host", "path").filter("host <> ''").distinct()
+    named = ["host", "path", "listed_host", "listed_path"]
+    urls = rows.select(*named).filter("host <> ''").distinct()
     parts = F.split("host", "\\.")
     suffixes = F.transform(
         F.sequence(F.greatest(F.lit(1), F.size(parts) - labels + 1), F.size(parts)),
@@ -141,12 +162,11 @@ def judge_urls(
             kind_col.alias("kind"), host.alias("host"), path.alias("path"), _key(kind_col, host, path).alias("key")
         )
 
-    exact = F.array(keyed("listed", F.col("host"), F.col("path")))
+    exact = F.array(keyed("listed", F.col("listed_host"), F.col("listed_path")))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: keyed("prefix", h, p))))
     tried = F.concat(pairs, exact) if labels else exact
-    probes = urls.select("host", "path", F.explode(tried).alias("c")).select(
-        "host",
-        "path",
+    probes = urls.select(*named, F.explode(tried).alias("c")).select(
+        *named,
         F.col("c.kind").alias("kind"),
         F.col("c.host").alias("entry_host"),
         F.col("c.path").alias("entry_path"),
@@ -161,7 +181,7 @@ def judge_urls(
     )
     exact_side = F.broadcast(exact_side) if n_entries <= MAX_BROADCAST_ENTRIES else exact_side.hint("shuffle_hash")
     hits = passed.join(exact_side, ["kind", "entry_host", "entry_path"])
-    best = hits.groupBy("host", "path").agg(
+    best = hits.groupBy(*named).agg(
         F.max_by(
             F.struct("rule", "verdict"),
             F.struct(
@@ -169,7 +189,7 @@ def judge_urls(
             ),
         ).alias("r")
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    return rows.join(best, named, "left").select(
         F.col("id").alias(id_col),
         "host",
         "path",

@@ -227,18 +227,19 @@ def test_leaks_match_brute_force(spark, make_docs, monkeypatch):
         return [rnd.choice("the of and".split()) if rnd.random() < 0.4 else f"w{rnd.randint(0, 400)}" for _ in range(n)]
 
     texts = [some(rnd.randint(12, 50)) for _ in range(25)]
-    items = [(n, " ".join(t)) for n, t in enumerate(texts)] + [(3, items_text := "Qq, Rr ss! tt uu"), (None, "x y z u v w"), (60, None), (61, ""), (62, "two words"), (63, items_text)]
+    items = [(n, " ".join(t)) for n, t in enumerate(texts)] + [(3, items_text := "Qq, Rr ss! tt uu"), (None, "x y z u v w"), (60, None), (61, ""), (62, "two words"), (63, items_text), (64, "what is two plus"), (65, " ".join(long_item := some(900)))]
     rows = [(i, " ".join(some(300))) for i in range(20)]
     for i in range(20, 60):
         n = rnd.randrange(25)
         rows.append((i, " ".join(some(rnd.randint(0, 200)) + [w.upper() for w in texts[n]] + some(rnd.randint(0, 200))) + "%%%"))
     rows += [(70, None), (71, ""), (None, items[0][1]), (72, "qq rr Ss tt uu")]
+    rows += [(73, "so: what is, two plus more"), (74, "what two is plus two, words"), (75, " ".join(some(50) + long_item + some(700)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     plain = [(i, " " + " ".join(re.sub(r"[!-/:-@\[-`{-~]", " ", t or "").lower().split()) + " ") for i, t in rows]
     want = set()
     for n, t in items:
         words = re.sub(r"[!-/:-@\[-`{-~]", " ", t or "").lower().split()
-        if n is not None and len(words) >= 5:
+        if n is not None and words:
             want |= {(i, n) for i, p in plain if f" {' '.join(words)} " in p}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(make_docs(rows), bench).collect()}
     assert want == got and len(want) > 40
@@ -251,6 +252,17 @@ def test_leaks_match_brute_force(spark, make_docs, monkeypatch):
     assert decontaminate.contaminated(make_docs(rows), bench.limit(0)).count() == 0
 
 
+def test_edited_items_are_found_and_loose_words_are_not(spark, make_docs):
+    words = [f"w{n}" for n in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(n, " ".join(["x"] * 30 + words[:n] + ["changed"] + words[n + 1 :] + ["y"] * 30)) for n in range(40)]
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(make_docs(rows), bench).collect()}
+    assert set(got) == set(range(40))
+    assert got[35]["answer_overlap"] < 0.5 and got[5]["question_overlap"] < 0.9
+    loose = [(100, " ".join(words[::-1])), (101, " ".join(words[:30])), (102, " ".join(words[:20] + ["z"] * 9 + words[32:]))]
+    assert decontaminate.contaminated(make_docs(loose), bench).count() == 0
+
+
 def test_wand_retrieves_all_above_the_threshold():
     rnd = random.Random(5)
     rows = [(i, [f"t{rnd.randint(0, 60)}" for _ in range(20)], [(f"t{t}", rnd.random() / 8) for t in rnd.sample(range(60), 15)]) for i in range(300)]

@@ -103,7 +103,18 @@ def test_url_rules(spark):
         "http://notexample.net/en/1": ("net", "net/", "block"),
         "https://b.org/fr/1#z": ("org", "org/fr/", "allow"),
         "https://b.org/de": ("org", None, "allow"),
-        "http://listed.com/page?q=1": ("com", None, "block"),
+        "http://listed.com/page": ("com", None, "block"),
+        "http://listed.com/page#part": ("com", None, "block"),
+        "http://Listed.com:80/page": ("com:80", None, "block"),
+        "https://listed.com.:443/page": (":443", None, "block"),
+        "https://listed.com./page": ("com.", None, "block"),
+        "https://listed.com:80/page": ("com:80", None, "allow"),
+        "http://listed.com/page?q=1": ("com", None, "allow"),
+        "http://video.com/watch?v=1": ("com", None, "block"),
+        "http://video.com/watch?v=2": ("com", None, "allow"),
+        "http://video.com/watch": ("com", None, "allow"),
+        "http://bare.com": ("com", None, "block"),
+        "http://bare.com/?": ("com", None, "allow"),
         "http://listed.com/page2": ("com", None, "allow"),
         "no url": ("", None, "allow"),
         "": ("", None, "allow"),
@@ -111,7 +122,7 @@ def test_url_rules(spark):
     }
     rows = [(n, u, "clash") for n, u in enumerate(cases)] + [(0, "http://a.Example.NET/en/x?y", "again"), (None, "x://net/", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    listed = spark.createDataFrame([("https://listed.com/page",), (None,)], "url string")
+    listed = spark.createDataFrame([("https://listed.com/page",), ("http://video.com:80/watch?v=1#t",), ("http://bare.com/",), (None,)], "url string")
     found = urls.judge_urls(pages, rules, listed).collect()
     assert len(found) == len(rows)
     by_id = {r["page_id"]: r for r in found}
