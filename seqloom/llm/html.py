@@ -1,14 +1,14 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page becomes a row of text blocks. A classifier's cost of calling a block content or boilerplate is its
-capacity to the two terminals; neighbouring blocks, and consecutive blocks of one parent, are tied by
-smoothness edges. The minimum cut, found by maximum flow, labels all blocks of a page together.
+capacity to the two terminals; neighbouring blocks, and consecutive blocks of one parent (but not an advert
+with the paragraphs around it), are tied by smoothness edges. The minimum cut, found by maximum flow, labels all blocks of a page together.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 
 import pyarrow as pa
@@ -16,11 +16,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Smoothness of neighbouring blocks, and of consecutive blocks under one parent.
+#: Smoothness of neighbouring blocks, and of consecutive blocks under one parent and the same hints.
 ADJACENT, SIBLINGS = 0.4, 0.8
 
 # Element names of the HTML standard, by what they do to the text.
-SKIPPED = frozenset("head script style template noscript svg math iframe object canvas audio video select datalist textarea button title".split())
+SKIPPED = frozenset("head script style template noscript svg iframe object canvas audio video select datalist textarea button title".split())
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "xmp")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -50,6 +50,8 @@ HINTS = re.compile(
     re.I,
 )
 HINT_WEIGHT = -12.0
+#: Class names that only speak of such parts, like ``has-sidebar`` or ``no-header``.
+ABOUT = re.compile(r"(?<![^\s])(?:has|no|not|with|without|hide|show|is)[_-]\S+", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s=])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 _TAG = re.compile(
@@ -60,31 +62,48 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 
 
 class _Open:
-    __slots__ = ("name", "score", "link", "number", "skipped")
+    """An open element: what it and those around it add to a block's score, and the hints among them."""
 
-    def __init__(self, name, score, link, number, skipped):
+    __slots__ = ("name", "score", "link", "number", "skipped", "hints", "owner", "parent", "in_article", "around", "held")
+
+    def __init__(self, name, score, link, number, skipped, hints, above):
         self.name, self.score, self.link, self.number, self.skipped = name, score, link, number, skipped
+        #: Numbers of the elements that name boilerplate, from the page's root down to this one.
+        self.hints = hints
+        #: The block element that text in here belongs to, and the number of the element around that.
+        self.owner = self if above is None or name in BLOCKS else above.owner
+        self.parent = 0 if above is None else above.number if self.owner is self else above.parent
+        self.in_article = name in CONTENT or (above is not None and above.in_article)
+        #: The content element around a block, this one included, and the characters it holds itself.
+        self.around = self if name in CONTENT else above.around if above is not None else None
+        self.held = 0
+
+
+def _hinted(name: str, attributes: str) -> bool:
+    if name in ("body", "html", "article", "main"):
+        return False
+    return any(HINTS.search(ABOUT.sub(" ", " ".join(names))) for names in _NAMES.findall(attributes))
 
 
 def _score_of(name: str, attributes: str, in_article: bool) -> float:
     score = BOILERPLATE.get(name, 0.0) + CONTENT.get(name, 0.0)
     if name == "header" and not in_article:
         score -= 12.0
-    if attributes:
-        if HIDDEN.search(attributes):
-            score += HINT_WEIGHT
-        elif name not in ("body", "html", "article", "main"):
-            for names in _NAMES.findall(attributes):
-                if HINTS.search(" ".join(names)):
-                    score += HINT_WEIGHT
-                    break
+    if attributes and HIDDEN.search(attributes):
+        score += HINT_WEIGHT
     return score
 
 
-def blocks_of(html: str) -> list[tuple[str, float, int]]:
-    """The page's blocks in order: text, log-odds of content, number of the parent element."""
-    out: list[tuple[str, float, int]] = []
-    stack = [_Open("", 0.0, False, 0, False)]
+def blocks_of(html: str) -> list[tuple[str, float, tuple]]:
+    """The page's blocks in order: text, log-odds of content, and the parent element with the hints they are under.
+
+    A hint speaks for all that is inside its element. Only if that holds the page's main element, the
+    ``main`` or else the ``article`` with the most text, does it speak of the layout and count for nothing.
+    """
+    found: list[tuple[str, float, int, tuple[int, ...]]] = []
+    stack = [_Open("", 0.0, False, 0, False, (), None)]
+    opened_names: Counter[str] = Counter()
+    content: list[_Open] = []
     parts: list[str] = []
     linked, opened, at = 0, 0, 0
 
@@ -92,14 +111,20 @@ def blocks_of(html: str) -> list[tuple[str, float, int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            owner = next((e for e in reversed(stack) if e.name in BLOCKS or not e.name), stack[0])
-            parent = stack[max(0, stack.index(owner) - 1)]
+            top = stack[-1]
+            owner = top.owner
             share = linked / max(1, len(text))
             score = owner.score + OWN.get(owner.name, 0.0) + (-3.0 if share > 0.6 else 0.5) + min(2.0, len(text) / 100)
-            out.append((text, score, parent.number))
+            found.append((text, score, owner.parent, owner.hints))
+            if owner.around is not None and owner.hints == owner.around.hints:
+                owner.around.held += len(text)
         parts.clear()
         linked = 0
 
+    def close(depth: int) -> None:
+        opened_names.subtract(e.name for e in stack[depth:])
+        del stack[depth:]
+
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not stack[-1].skipped:
@@ -120,11 +145,10 @@ def blocks_of(html: str) -> list[tuple[str, float, int]]:
         if not name:
             continue
         if match[1] or match[4]:  # a closing tag closes what is open inside, if its element is open
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if name in BLOCKS and not stack[-1].skipped:
                 flush()
-            if depth:
-                del stack[depth:]
+            if opened_names[name] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             continue
         attributes = match[3] or match[6] or ""
         if name in VOID:
@@ -138,36 +162,50 @@ def blocks_of(html: str) -> list[tuple[str, float, int]]:
             closes = CLOSES.get(name, {"p"} if name in BARRIERS or name in BLOCKS else ())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in closes:
-                    del stack[i:]
+                    close(i)
                 elif stack[i].name in BARRIERS and stack[i].name not in closes:
                     break
         top = stack[-1]
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+            ending = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            at = ending.end() if ending else end
             continue
         if attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
         opened += 1
-        in_article = any(e.name in CONTENT for e in stack)
-        stack.append(
-            _Open(
-                name,
-                top.score + _score_of(name, attributes, in_article),
-                top.link or name == "a",
-                opened,
-                top.skipped or name in SKIPPED,
-            )
+        # a button in running text is text, any other is a part of a form
+        skipped = name in SKIPPED and not (name == "button" and opened_names["p"] > 0)
+        element = _Open(
+            name,
+            top.score + _score_of(name, attributes, top.in_article),
+            top.link or name == "a",
+            opened,
+            top.skipped or skipped,
+            (*top.hints, opened) if attributes and _hinted(name, attributes) else top.hints,
+            top,
         )
+        stack.append(element)
+        opened_names[name] += 1
+        if name in CONTENT:
+            content.append(element)
     flush()
-    return out
+    layout: set[int] = set()
+    for name in CONTENT:
+        elements = [e for e in content if e.name == name and e.held]
+        if elements:
+            layout.update(max(elements, key=lambda e: e.held).hints)
+    return [
+        (text, score + HINT_WEIGHT * sum(h not in layout for h in hints), (parent, hints))
+        for text, score, parent, hints in found
+    ]
 
 
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which blocks lie on the content side of the minimum cut.
 
     Terminal capacities are the positive and negative scores. Flow is pushed along shortest augmenting
-    paths from blocks with content capacity left to blocks with boilerplate capacity left.
+    paths from blocks with content capacity left to blocks with boilerplate capacity left. What a
+    search without success has reached leads nowhere in later ones either and is not entered again.
     """
     n = len(scores)
     supply, demand = [max(s, 0.0) for s in scores], [max(-s, 0.0) for s in scores]
@@ -177,8 +215,12 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
         neighbours[b][a] = neighbours[b].get(a, 0.0) + weight
     tiny = 1e-9
     active = deque(i for i in range(n) if supply[i] > tiny)
+    spent = [False] * n
     while active:
         source = active[0]
+        if spent[source]:
+            active.popleft()
+            continue
         came, queue, sink = {source: source}, deque([source]), -1
         while queue:
             i = queue.popleft()
@@ -186,11 +228,12 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                 sink = i
                 break
             for j, room in neighbours[i].items():
-                if room > tiny and j not in came:
+                if room > tiny and j not in came and not spent[j]:
                     came[j] = i
                     queue.append(j)
         if sink < 0:
-            active.popleft()
+            for i in came:
+                spent[i] = True
             continue
         flow, j = min(supply[source], demand[sink]), sink
         while j != source:

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -292,6 +293,55 @@ def test_minimum_cut_is_minimal():
         assert cost(html.min_cut(scores, edges)) == pytest.approx(best)
 
 
+ARTICLE = "<h1>Head</h1><p>" + "First words of the text, and some more of them. " * 3 + "</p><p>Then a second part that goes on.</p>"
+ARTICLE_TEXT = "Head\n" + ("First words of the text, and some more of them. " * 3).strip() + "\nThen a second part that goes on."
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">About us</a></li></ul></nav>'
+LAYOUTS = [
+    f"{NAV}<article>{ARTICLE}</article><footer>made by us</footer>",
+    f'<div class="content no-sidebar">{NAV}<article>{ARTICLE}</article></div>',
+    f'<div id="page" class="has-header"><article>{ARTICLE}</article></div>',
+    f'<div id="page" class="with-footer is-search"><div>{ARTICLE}</div></div>',
+    f'<div class="search-page"><main>{ARTICLE}</main></div><div class="search">Find things here</div>',
+    f'<div class="header-wrap comments-open"><main><article>{ARTICLE}</article></main></div>',
+    f'<main><div class="widget-area"><article>{ARTICLE}</article></div><div class="widget-area">Other things to see</div></main>',
+    f'<article>{ARTICLE}</article><section class="comments"><article><p>I like this text a lot, thank you.</p></article></section>',
+    f'<article>{ARTICLE}</article><div class="related"><article><h3><a href="/x">Another story</a></h3></article></div>',
+    f'<article>{ARTICLE}<div class="share"><a href="/t">Tell a friend</a></div></article>',
+    f"<body><header><p>The name of the site</p></header>{ARTICLE}<aside><p>Look at this too</p></aside>",
+    f'<article>{ARTICLE}</article><form><label>Name</label><button>Send it</button></form>',
+    f'<div role="navigation"><a href="/">Home page</a></div><div class="post">{ARTICLE}</div>',
+    f'<article>{ARTICLE}</article><div style="display: none">Not to be seen at all</div>',
+    f'<article>{ARTICLE}</article><button>Go to top</button><svg><text>drawn</text></svg>',
+    f'<div class="cookie-consent"><p>We keep small files on your machine, do you agree?</p></div><article>{ARTICLE}</article>',
+]
+
+
+@pytest.mark.parametrize("number", range(len(LAYOUTS)))
+def test_the_article_is_found_in_many_layouts(number):
+    assert html.main_text(LAYOUTS[number]) == ARTICLE_TEXT
+
+
+def test_text_of_formulas_and_buttons_in_a_paragraph_stays():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and press <button>Run</button> to see what comes out.</p></article>"
+    assert html.main_text(page) == "Let x=2 and press Run to see what comes out."
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    long_page = NAV + "<article>" + "".join(f"<p>Paragraph {n} with some words.</p>" for n in range(20000)) + "</article><footer>end</footer>"
+    deep = "".join(f"<div>Level {n} has its own words." for n in range(20000))
+    mixed = "".join(f'<p>Paragraph {n} with some words in it.</p><div class="ad">Buy {n}</div>' for n in range(10000))
+    start = time.monotonic()
+    assert html.main_text(long_page).count("\n") == 19999
+    assert html.main_text(deep).count("\n") == 19999
+    assert html.main_text(mixed).count("\n") == 9999
+    assert time.monotonic() - start < 30
+
+
+def test_html_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, html string, text string")
+    assert pages.select("page_id", html.extract(F.col("html")).alias("text")).count() == 0
+
+
 def test_html_extraction(spark):
     page = (
         "<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body><header><h1>Site</h1></header>"
