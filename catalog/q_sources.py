@@ -95,16 +95,19 @@ def src_links(spark, sf_dir):
 # --- arrays ---------------------------------------------------------------------------------------
 
 
-def write_arrays(spark, sf_dir, empty_every=0):
+def write_arrays(spark, sf_dir, empty_every=0, single_every=0):
     """One ``<subject>_visual.npy`` per sequence of ten vectors.
 
-    With ``empty_every`` subjects divisible by it also get an acoustic file of no bytes.
+    With ``empty_every`` subjects divisible by it also get an acoustic file of no bytes, with
+    ``single_every`` those divisible by it are stored at single precision.
     """
     root = new_shared_path(spark, "arrays")
 
     def save(pdf: pd.DataFrame) -> pd.DataFrame:
         subject = int(pdf["subject_id"].iloc[0])
         matrix = np.stack(pdf.sort_values("sec")["features"].to_numpy()).astype(np.float64)
+        if single_every and subject % single_every == 0:
+            matrix = matrix.astype(np.float32)
         out = io.BytesIO()
         np.save(out, matrix)
         write_bytes(f"{root}/{subject}/{subject}_visual.npy", out.getvalue())
@@ -145,6 +148,24 @@ def src_array_shape(spark, sf_dir):
     return shapes.select(_subject_of(), "rows", "width", "dtype")
 
 
+@query(
+    "agg_array_issues",
+    f"""WITH {VECTOR_FRAMES_SQL}, s AS (SELECT DISTINCT subject_id FROM vector_frames)
+SELECT subject_id, 'visual' AS modality, 'dtype' AS issue, 'float32' AS dtype FROM s WHERE subject_id % 3 = 0
+UNION ALL SELECT subject_id, 'acoustic', 'corrupt', NULL FROM s WHERE subject_id % 5 = 0""",
+)
+def agg_array_issues(spark, sf_dir):
+    """Headers of all written files; every fifth subject has an empty file, every third one of single precision."""
+    shapes = arrays.array_shapes(write_arrays(spark, sf_dir, empty_every=5, single_every=3))
+    named = shapes.select(
+        "dtype",
+        "error",
+        F.regexp_extract("path", r"/(\d+)_(\w+)\.npy$", 1).cast("long").alias("subject_id"),
+        F.regexp_extract("path", r"/(\d+)_(\w+)\.npy$", 2).alias("modality"),
+    )
+    return audit.array_issues(named)
+
+
 @query(
     "src_files",
     f"""WITH {VECTOR_FRAMES_SQL}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import labels as L
 from seqloom.functions.vectors import has_inf, has_nan
+from seqloom.operators.quantile import exact_quantiles
 
 # Feature widths by corpus and modality.
 EXPECTED_WIDTHS = {
@@ -55,28 +56,23 @@ def split_rates(df: DataFrame, split: str = "fold", label: str = "label_binary")
 
 
 def numeric_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """``min, max, mean, median, std`` (population) of one integer-valued column.
+    """``min, max, mean, median, std`` (population) of one numeric column; NULL and NaN are left out.
 
-    Values are counted first, so the median works on the histogram: for lengths, ages or scores
-    there are few distinct values however many rows.
+    Values are counted first and the counts stored, so the input is read once. The median is found by
+    running counts over the ordered values, so a column may have any number of distinct ones and a
+    group any size.
     """
-    histogram = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    n, x = F.col("_n"), F.col(column).cast("double")
-    sums = histogram.groupBy(*by).agg(
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-        (F.sum(x * n) / F.sum(n)).alias("mean"),
-        F.percentile(F.col(column), 0.5, F.col("_n")).alias("median"),
-        F.sqrt(
-            F.greatest(
-                F.sum(x * x * n) / F.sum(n) - F.pow(F.sum(x * n) / F.sum(n), F.lit(2.0)),
-                F.lit(0.0),
-            )
-        ).alias("std"),
-    )
-    return sums.select(*by, "min", "max", "mean", "median", "std")
+    n, x = F.col("_n"), F.col("_v")
+    kind = df.schema[column].dataType
+    mean = F.sum(x * n) / F.sum(n)
+    further = [
+        F.min(x).cast(kind).alias("min"),
+        F.max(x).cast(kind).alias("max"),
+        mean.alias("mean"),
+        F.sqrt(F.greatest(F.sum(x * x * n) / F.sum(n) - F.pow(mean, F.lit(2.0)), F.lit(0.0))).alias("std"),
+    ]
+    found = exact_quantiles(df, column, {"median": 0.5}, by, also=further)
+    return found.select(*by, "min", "max", "mean", "median", "std")
 
 
 def severity_histogram(df: DataFrame, score: str = "phq") -> DataFrame:
@@ -171,9 +167,13 @@ def dimension_issues(
     )
 
 
-def dtype_issues(arrays: DataFrame, expected: str = "float64") -> DataFrame:
-    """Array files stored with another element type; ``arrays`` is a listing of headers."""
-    return arrays.where(F.col("dtype") != expected).select("subject_id", "modality", "dtype")
+def array_issues(arrays: DataFrame, expected: str = "float64") -> DataFrame:
+    """``subject_id, modality, issue, dtype``: files without a readable header (``corrupt``) and those of
+    another element type (``dtype``); ``arrays`` is a listing of headers with their errors."""
+    damaged = F.col("error").isNotNull()
+    issue = F.when(damaged, "corrupt").when(F.col("dtype") != expected, "dtype")
+    listed = arrays.select("subject_id", "modality", issue.alias("issue"), "dtype")
+    return listed.where(F.col("issue").isNotNull())
 
 
 # --- cross references -----------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.skew import ONE_TASK_ROWS, ordered_prefix
@@ -15,11 +15,13 @@ def exact_quantiles(
     column: str,
     names: Mapping[str, float],
     by: Sequence[str] = (),
-    one_task_rows: int = ONE_TASK_ROWS,
+    one_task_rows: int | None = None,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
     """One column per entry of ``names`` (name: fraction), interpolated between neighbours.
 
     NULL and NaN values are left out; a group of nothing else gives no row. Also returns ``count``.
+    ``also`` are further aggregates over the counted values: ``_v``, a double, stands ``_n`` times.
     """
     value = F.col(column).cast("double")
     counts = (
@@ -28,7 +30,7 @@ def exact_quantiles(
         .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = ordered_prefix(counts, by, F.col("_v"), ["_n"], ["_v"], one_task_rows)
+    ranked = ordered_prefix(counts, by, F.col("_v"), ["_n"], ["_v"], ONE_TASK_ROWS if one_task_rows is None else one_task_rows)
     low, high = F.col("before__n"), F.col("before__n") + F.col("_n")
 
     def at(fraction: float):
@@ -39,7 +41,7 @@ def exact_quantiles(
         return F.max(F.when(here, F.col("_v") + (upper - F.col("_v")) * (place - whole)))
 
     return ranked.groupBy(*by).agg(
-        F.sum("_n").alias("count"), *[at(q).alias(name) for name, q in names.items()]
+        F.sum("_n").alias("count"), *[at(q).alias(name) for name, q in names.items()], *also
     )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import statistics
+
 import pytest
 from pyspark.errors import PySparkException
 
-from seqloom.operators import audit, metrics, normalise, sampling, sequence, skew
+from seqloom.operators import audit, metrics, normalise, quantile, sampling, sequence, skew
 from seqloom.plans import corpora
 
 
@@ -78,3 +81,31 @@ def test_uneven_and_short_sequences(spark):
     items = corpora.window_items(prepared, labels, "dvlog", config, check_validity=False)
     starts = sorted((r["subject_id"], r["start"]) for r in items.collect())
     assert starts == [(1, 0), (1, 3), (1, 5), (2, 0), (2, 3), (2, 6), (4, 0), (4, 3)]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_statistics_of_a_continuous_column_with_one_large_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(quantile, "ONE_TASK_ROWS", limit)
+    rnd = random.Random(3)
+    rows = [("big" if rnd.random() < 0.8 else None, rnd.gauss(5, 3)) for _ in range(3000)]
+    rows += [("big", None), ("big", float("nan")), ("odd", 1.0), ("odd", 2.0), ("odd", 2.0), ("none", None)]
+    values = spark.createDataFrame(rows, "part string, x double")
+    found = {r["part"]: r for r in audit.numeric_stats(values, "x", ["part"]).collect()}
+    assert set(found) == {"big", None, "odd"}
+    for part, row in found.items():
+        want = [x for p, x in rows if p == part and x is not None and x == x]
+        assert (row["min"], row["max"]) == (min(want), max(want))
+        assert row["median"] == pytest.approx(statistics.median(want))
+        assert row["mean"] == pytest.approx(statistics.fmean(want))
+        assert row["std"] == pytest.approx(statistics.pstdev(want))
+    assert audit.numeric_stats(values.limit(0), "x", ["part"]).count() == 0
+    ages = spark.createDataFrame([(3,), (4,), (None,)], "age int")
+    assert audit.numeric_stats(ages, "age").collect() == [(3, 4, 3.5, 3.5, 0.5)]
+
+
+def test_array_issues_of_damaged_and_single_precision_files(spark):
+    rows = [("1", "visual", "float64", None), ("2", "visual", "float32", None), ("3", "acoustic", None, "EOF")]
+    listing = spark.createDataFrame(rows, "subject_id string, modality string, dtype string, error string")
+    assert {tuple(r) for r in audit.array_issues(listing).collect()} == {
+        ("2", "visual", "dtype", "float32"), ("3", "acoustic", "corrupt", None)
+    }
