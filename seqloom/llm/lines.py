@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import SPACE_CHARS, ascii_lower
-from seqloom.session import new_shared_path, stored
+from seqloom.session import delete_path, new_shared_path, register, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -34,14 +34,16 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = register(new_shared_path(self.spark, name))
         (
             run.repartition(self.buckets, "h1", "h2")
             .write.bucketBy(self.buckets, "h1", "h2")
             .sortBy("h1", "h2")
-            .option("path", new_shared_path(self.spark, name))
+            .option("path", self.paths[name])
             .saveAsTable(name)
         )
         return name
@@ -65,10 +67,15 @@ class LineRuns:
         return [name for level in self.levels for name in level]
 
     def drop(self) -> None:
-        for name in self.tables():
-            self.spark.sql(f"DROP TABLE {name}")
+        self._remove(self.tables())
         self.levels = []
 
+    def _remove(self, names: list[str]) -> None:
+        """Dropping a table that has a path of its own leaves its files, so they are deleted by themselves."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete_path(self.spark, self.paths.pop(name))
+
     def _push(self, level: int, name: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
@@ -76,8 +83,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
             self._push(level + 1, self._write(self._merge(merged)))
-            for old in merged:
-                self.spark.sql(f"DROP TABLE {old}")
+            self._remove(merged)
 
     def _merge(self, names: list[str]) -> DataFrame:
         """One row for each key: counts add up, and at most one run names a holder.

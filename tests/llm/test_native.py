@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -181,6 +182,9 @@ def test_runs_are_compacted(spark):
     for top in (400, 300, 200, 100, 0):
         runs.add(spark.range(50).select(F.col("id").alias("h1"), F.lit(1).cast("long").alias("h2"), (F.col("id") + top).alias("doc")))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
+    folders = list(runs.paths.values())
+    assert len(folders) == 2 and all(os.path.isdir(path) for path in folders)
     total = runs.totals().collect()
     assert len(total) == 50 and all(r["n_docs"] == 5 and r["holder"] == r["h1"] + 400 for r in total)
     runs.drop()
+    assert not any(os.path.exists(path) for path in folders) and not runs.paths
